@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, license_scan, line_dedup, mixing
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op6_bpe": bpe.op6_bpe,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op3_mix_sources": mixing.SQL,
+    "op7_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
