@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,8 +78,9 @@ class KeyFilter:
     """A bit array over hashed keys: says no only for keys that aren't in the set.  Its size is fixed by `bits`, so
     it may be broadcast whatever the number of keys; with too many keys it lets more rows pass, never fewer."""
 
-    def __init__(self, keys: DataFrame, columns: list[str], bits: int = 26):
-        self.bits, self.columns = bits, columns
+    def __init__(self, keys: DataFrame, hashed: Column, bits: int = 26):
+        """hashed: a long that is spread evenly, made of the columns of `keys` and of the rows tested later."""
+        self.bits, self.hashed = bits, hashed
         spark = keys.sparkSession
         slot = self._slot()
         parts = (
@@ -94,20 +96,23 @@ class KeyFilter:
         self.shared = spark.sparkContext.broadcast(whole)
 
     def _slot(self) -> Column:
-        return F.pmod(F.xxhash64(*self.columns), F.lit(2**self.bits)) + 1
+        return self.hashed.bitwiseAND(2**self.bits - 1) + 1
 
     def may_hold(self) -> Column:
         """True for each row whose key may be in the set."""
-        shared = self.shared
+        shared, bits = self.shared, self.bits
 
         @F.pandas_udf("boolean")
-        def test(bucket, position):
-            at = (bucket.to_numpy() - 1) * 32768 + position.to_numpy()
-            import pandas as pd
+        def test(hashed: pd.Series) -> pd.Series:
+            return pd.Series(holds(shared.value, bits, hashed.to_numpy()))
 
-            return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+        return test(self.hashed)
 
-        return test(F.bitmap_bucket_number(self._slot()), F.bitmap_bit_position(self._slot()))
+
+def holds(bitmap: np.ndarray, bits: int, hashed: np.ndarray) -> np.ndarray:
+    """Which of the hashed keys a filter's bitmap may hold."""
+    at = hashed.astype(np.int64) & (2**bits - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

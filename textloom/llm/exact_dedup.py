@@ -139,7 +139,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     base = base.select("doc_id", F.xxhash64("norm").alias("fp"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
     base = materialize(base, "fingerprints")
     repeated = materialize(repeated_fingerprints(base.select("fp")), "repeated")
-    may = KeyFilter(repeated, ["fp"])
+    may = KeyFilter(repeated, F.col("fp"))
     candidates = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"))
     candidates = candidates.withColumn("fp", F.xxhash64("norm")).where(may.may_hold())
     groups = candidates.groupBy("fp", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))

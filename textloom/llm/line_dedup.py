@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keyed_texts, later_rows, row_id, slices, table, utf8
 
@@ -95,8 +96,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     rest = F.struct(*[F.col(f"`{c}`") for c in kept if c.lower() != "text"], F.col("text").isNull().alias("__no_text"))
     rows = docs.select(row_id().alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), rest.alias("row"))
     rows = rows.join(covered, ["id", "th"], "left").select("row", "text", "ats")
-    kind = rows.schema["row"].dataType.simpleString()
-    done = rows.mapInArrow(_strip, f"row {kind}, kept_text string, n_lines long, n_removed long")
+    schema = T.StructType([rows.schema["row"]]).add("kept_text", "string").add("n_lines", "long").add("n_removed", "long")
+    done = rows.mapInArrow(_strip, schema)
     none = F.col("row.__no_text")
     out = []
     for c in kept:
