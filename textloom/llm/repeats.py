@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import KeyFilter, holds, materialize, slices
 from .sketch import may_repeat, sketch_repeated, width_for
-from .windows import anchors, runs
+from .windows import anchor_places, rolling, runs, several_places, sliding_min
 
 
 @dataclass
@@ -35,22 +35,32 @@ class Part:
 
 @dataclass(frozen=True)
 class Kind:
-    """A way to cut texts to symbols, with the length of windows and of the grams that anchor them."""
+    """A way to cut texts to symbols, with the length of windows and of the grams that anchor them.
+
+    inside: windows that repeat inside one text count too.  Such windows may lie in one run, if its anchor stands in
+    it twice; anchors are then counted by their places, and runs with several places of their anchor are marked."""
 
     window: int
     gram: int
     read: Callable[[list[bytes]], Part]
+    inside: bool
     longest: int = 256
 
-    def windows(self, part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor of each window start, run starts, run lengths, text of each run)."""
-        anchor = anchors(part.symbols, self.window, self.gram)
+    def windows(self, part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor of each window start, run starts, run lengths, text of each run, whether it has several places of
+        its anchor, hashes to count)."""
+        grams = rolling(part.symbols, self.gram)
+        anchor = sliding_min(grams, self.window - self.gram + 1)
         ends = np.cumsum(part.lengths)
         valid = np.ones(len(anchor), bool)
         for end in ends[:-1]:  # windows must not cross into the next text
             valid[max(0, end - self.window + 1) : end] = False
         starts, lengths = runs(anchor, valid, self.longest)
-        return anchor, starts, lengths, np.searchsorted(ends, starts, side="right")
+        texts = np.searchsorted(ends, starts, side="right")
+        if not self.inside or not len(anchor):
+            return anchor, starts, lengths, texts, np.zeros(len(starts), bool), anchor[starts]
+        places = anchor_places(grams, anchor)
+        return anchor, starts, lengths, texts, several_places(grams, places, anchor, starts, lengths), grams[places]
 
 
 def _parts(batch: pa.RecordBatch, kind: Kind, budget: int = 400_000) -> Iterator[tuple[pa.RecordBatch, Part]]:
@@ -68,16 +78,16 @@ class Repeats:
 
         def anchors_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             for _, part in _parts(batch, kind):
-                anchor, starts, _, _ = kind.windows(part)
-                yield anchor[starts]
+                yield kind.windows(part)[-1]
 
         self.sketch = sketch_repeated(texts.select("text"), anchors_of, self.bits)
         self.rows = materialize(self._runs(), "runs")
-        found = self.rows.groupBy("v", "k1", "k2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+        found = self.rows.groupBy("v", "k1", "k2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("several").alias("several"))
         self.classes = materialize(found, "classes")
 
     def _runs(self) -> DataFrame:
-        """(id, th, v, k1, k2, at, n, again) for each run that may repeat; again: not the text's first of its class."""
+        """(id, th, v, k1, k2, at, n, several, again) for each run that may repeat; several: its anchor stands in it more
+        than once; again: it is not the text's first of its class."""
         kind, bits, sketch = self.kind, self.bits, self.sketch
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,11 +100,11 @@ class Repeats:
                     again[order[1:][same]] = True
                     take = pa.array(text)
                     yield pa.RecordBatch.from_arrays(
-                        [rows.column("id").take(take), rows.column("th").take(take), *(pa.array(found[c]) for c in ("v", "k1", "k2", "at", "n")), pa.array(again)],
-                        ["id", "th", "v", "k1", "k2", "at", "n", "again"],
+                        [rows.column("id").take(take), rows.column("th").take(take), *(pa.array(found[c]) for c in ("v", "k1", "k2", "at", "n", "several")), pa.array(again)],
+                        ["id", "th", "v", "k1", "k2", "at", "n", "several", "again"],
                     )
 
-        return self.texts.mapInArrow(run, "id long, th long, v long, k1 long, k2 long, at int, n int, again boolean")
+        return self.texts.mapInArrow(run, "id long, th long, v long, k1 long, k2 long, at int, n int, several boolean, again boolean")
 
     def whole_runs(self, inside: bool) -> DataFrame:
         """(id, th, at, n) of the runs whose class occurs under a smaller id; inside: or earlier in the same text."""
@@ -103,8 +113,10 @@ class Repeats:
         return later.unionByName(self.rows.where("again").select("id", "th", "at", "n")) if inside else later
 
     def mixed_anchors(self) -> DataFrame:
-        """(v, n_classes) of the anchors that several classes share."""
-        return self.classes.groupBy("v").agg(F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1")
+        """(v, n_classes) of the anchors whose windows must be compared one by one: several classes share the anchor, or
+        it stands more than once in a run."""
+        counted = self.classes.groupBy("v").agg(F.count(F.lit(1)).alias("n_classes"), F.max("several").alias("several"))
+        return counted.where("n_classes > 1 or several").select("v", "n_classes")
 
     def left_over(self, anchors_wanted: DataFrame) -> KeyFilter:
         """A filter for the runs still to be looked at: of each class with such an anchor those under its first id."""
@@ -135,10 +147,10 @@ def _run_key(k1: Column, id_: Column) -> Column:
 def may_runs(kind: Kind, part: Part, sketch: np.ndarray, bits: int) -> dict[str, np.ndarray]:
     """The runs of a part that may repeat: text (its number in the part), at (in its text), start (in the part), n,
     v and the 128-bit key k1, k2 of all symbols that the run's windows cover."""
-    anchor, starts, lengths, texts = kind.windows(part)
+    anchor, starts, lengths, texts, several, _ = kind.windows(part)
     v = anchor[starts]
     keep = may_repeat(sketch, v, bits)
-    starts, lengths, texts, v = starts[keep], lengths[keep], texts[keep], v[keep]
+    starts, lengths, texts, several, v = starts[keep], lengths[keep], texts[keep], several[keep], v[keep]
     w, content, tail = part.width, part.content, kind.window - 1
     digest = xxhash.xxh3_128_digest
     keys = b"".join(digest(content[s * w : (s + n + tail) * w]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True))
@@ -149,6 +161,7 @@ def may_runs(kind: Kind, part: Part, sketch: np.ndarray, bits: int) -> dict[str,
         "at": (starts - begins[texts]).astype(np.int32),
         "start": starts,
         "n": lengths.astype(np.int32),
+        "several": several,
         "v": v.view(np.int64),
         "k1": halves[:, 0].copy(),
         "k2": halves[:, 1].copy(),

@@ -43,7 +43,7 @@ def read_words(texts: list[bytes]) -> Part:
     return Part(symbols, symbols.tobytes(), 8, lengths)
 
 
-KIND = Kind(WINDOW, GRAM, read_words)
+KIND = Kind(WINDOW, GRAM, read_words, inside=False)
 
 
 def _windows(rows: pa.RecordBatch, part: Part, found: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:

@@ -95,6 +95,23 @@ def anchors(symbols: np.ndarray, window: int, gram: int) -> np.ndarray:
     return sliding_min(rolling(symbols, gram), window - gram + 1)
 
 
+def anchor_places(grams: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Places of the grams that are the smallest of some window around them."""
+    width = len(grams) - len(anchor) + 1
+    edge = np.zeros(width - 1, np.uint64)
+    largest = ~sliding_min(~np.concatenate([edge, anchor, edge]), width)
+    return np.flatnonzero(largest == grams)
+
+
+def several_places(grams: np.ndarray, places: np.ndarray, anchor: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each run whether its anchor stands at two places or more that the run's windows cover."""
+    width, size = len(grams) - len(anchor) + 1, len(grams) + 1
+    values, number = np.unique(grams[places], return_inverse=True)
+    keys = np.sort(number.astype(np.int64) * size + places)
+    own = np.searchsorted(values, anchor[starts]).astype(np.int64) * size
+    return np.searchsorted(keys, own + starts + lengths + width - 1) - np.searchsorted(keys, own + starts) > 1
+
+
 def runs(anchor: np.ndarray, valid: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of neighbouring valid windows that have one anchor, cut at `longest`."""
     n = len(anchor)
