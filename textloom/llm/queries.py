@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, line_dedup, mixing
+from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {
     "op3_mix_sources": mixing.SQL,
+    "op5_substring_dedup": substring_dedup.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
