@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality, substring_dedup, suffix_dedup, vector_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_vector_dedup": vector_dedup.op2_vector_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_vector_dedup": vector_dedup.SQL,
     "op3_mix_sources": mixing.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op7_line_dedup": line_dedup.SQL,
