@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality, substring_dedup, suffix_dedup, vector_dedup
+from . import bpe, exact_dedup, license_scan, line_dedup, minhash_dedup, mixing, quality, substring_dedup, suffix_dedup, vector_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_quality": quality.op10_quality,
 }
 
