@@ -1,7 +1,7 @@
 """Embedding near-dedup by spherical-cap filters from structured random product codes.
 
-A filter is a direction put together from one codeword for each half of the vector, in each of a few randomly
-permuted codes; a vector belongs to every filter whose direction it exceeds a threshold in.  The product structure
+A filter is a direction put together from one codeword for each half of the vector, in each of a few
+randomly turned codes; a vector belongs to every filter whose direction it exceeds a threshold in.  The product structure
 lets each vector list its filters without looking at them all: only codewords that can reach the threshold with the
 best codeword of the other half are combined.  Vectors are joined on filters, and each pair of a filter's members is
 verified in double precision, in the first filter that the two share.
@@ -43,11 +43,16 @@ def threshold(words: int) -> float:
 
 
 @lru_cache(4)
-def code(number: int, width: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A permutation of the components, and Gaussian codewords for both halves; the same wherever it is made."""
+def code(number: int, width: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For both halves of a randomly turned vector, the matrix that gives its products with Gaussian codewords.
+
+    Vectors are turned by a random isometry, into at least 32 dimensions, so that narrow or sparse ones are spread
+    over both halves too; the same wherever it is made."""
     rng = np.random.default_rng([SEED, number, width])
-    half = (width + 1) // 2
-    return rng.permutation(width), rng.normal(size=(words, half)), rng.normal(size=(words, width - half))
+    wide = max(width, 32)
+    turn = np.linalg.qr(rng.normal(size=(wide, width)))[0]
+    half = wide // 2
+    return turn[:half].T @ rng.normal(size=(half, words)), turn[half:].T @ rng.normal(size=(wide - half, words))
 
 
 def list_decode(unit: np.ndarray, words: int) -> list[np.ndarray]:
@@ -56,9 +61,8 @@ def list_decode(unit: np.ndarray, words: int) -> list[np.ndarray]:
     limit = threshold(words)
     found: list[list[np.ndarray]] = [[] for _ in range(n)]
     for c in range(CODES):
-        order, first, second = code(c, width, words)
-        half = first.shape[1]
-        one, two = unit[:, order[:half]] @ first.T, unit[:, order[half:]] @ second.T
+        first, second = code(c, width, words)
+        one, two = unit @ first, unit @ second
         best_one, best_two = one.max(axis=1), two.max(axis=1)
         for r in range(n):
             i, j = np.flatnonzero(one[r] >= limit - best_two[r]), np.flatnonzero(two[r] >= limit - best_one[r])
