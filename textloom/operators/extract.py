@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.constants import IPC
 
@@ -114,7 +115,7 @@ def _subtrees(rows: DataFrame) -> DataFrame:
                 out["error"].append(error)
             yield batch.assign(**out)
 
-    return rows.mapInPandas(run, rows.schema.add("abstract_xml", "string").add("description_xml", "string").add("claims_xml", "string").add("error", "string"))
+    return rows.mapInPandas(run, T.StructType(list(rows.schema.fields)).add("abstract_xml", "string").add("description_xml", "string").add("claims_xml", "string").add("error", "string"))
 
 
 def patents(raw: DataFrame) -> DataFrame:
