@@ -120,24 +120,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large and small stars until the edges stay as they are, each round written to the shared folder.
     Neighbourhoods are only ever reduced to their minimum, so a centre with a third of all ids is no single task."""
+    def state(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     now = materialize(now, "edges")
-    mark = None
-    for _ in range(most_rounds):
+    mark = state(now)
+    for _ in range(most_rounds if mark[0] else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = large.where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = materialize(small, "edges")
-        said = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if said == mark:
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        if (said := state(now)) == mark:
             break
         mark = said
     else:
-        raise RuntimeError("components did not settle")
+        if mark[0]:
+            raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(roots)

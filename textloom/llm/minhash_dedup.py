@@ -9,20 +9,20 @@ Links are confirmed on the full sets.  A pair at similarity 0.8 differs in 12.8
 deviation of 3.2, so that about one in ten thousand such pairs lies beyond the distance; more similar ones less.
 
 No bucket is expanded into all its pairs.  Members are first compared with the smallest member of their bucket;
-only in buckets that this leaves in several components are members of different components compared, and large
-buckets of that sort are first split by a second index over the other chunks, where two errors must be allowed for.
+only in buckets that this leaves in several components are members of different components compared.  Members of
+large buckets of that sort - texts that share a common passage - are compared where they share one of the shingles
+that come first in an order from rare to frequent, which loses no similar pair either.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, KeyFilter, components, keyed_texts, materialize, row_id, slices, table, utf8
@@ -33,7 +33,7 @@ SYMBOLS, DISTANCE, CHUNKS = 64, 25, 13
 BOUNDS = [round(i * SYMBOLS / CHUNKS) for i in range(CHUNKS + 1)]
 SIMILARITY = 80  # per cent
 #: Buckets of several components with more members go through the second index.
-SMALL_BUCKET = 128
+SMALL_BUCKET = 32
 _FACTORS = np.random.default_rng(9).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -71,29 +71,18 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bucket_keys(signature: np.ndarray, errors: int = 1, without: np.ndarray | None = None, salt: np.ndarray | None = None) -> np.ndarray:
-    """Keys of each signature: every chunk with every choice of `errors` symbols left out.
-
-    without, salt: for a second index inside buckets - the chunk of a bucket is left out, its key goes into all others."""
+def bucket_keys(signature: np.ndarray) -> np.ndarray:
+    """Keys of each signature: every chunk with each of its symbols left out."""
     columns = []
     for c in range(CHUNKS):
         here = range(BOUNDS[c], BOUNDS[c + 1])
-        for number, gone in enumerate(combinations(here, errors)):
-            key = np.full(len(signature), (c * 64 + number) * 2 + errors, np.uint64)
+        for gone in here:
+            key = np.full(len(signature), c * SYMBOLS + gone, np.uint64)
             for i in here:
-                if i not in gone:
+                if i != gone:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, i])
-            if salt is not None:
-                key = mix(key ^ salt)
             columns.append(key)
-    keys = np.stack(columns, axis=1)
-    if without is not None:
-        chunk_of = np.array([c for c in range(CHUNKS) for _ in combinations(range(BOUNDS[c], BOUNDS[c + 1]), errors)])
-        return np.where(chunk_of[None, :] == without[:, None], np.uint64(0), keys)
-    return keys
-
-
-_CHUNK_OF_KEY = np.array([c for c in range(CHUNKS) for _ in range(BOUNDS[c], BOUNDS[c + 1])])
+    return np.stack(columns, axis=1)
 
 
 def _sign(words: int):
@@ -118,7 +107,7 @@ def _symbols(column: pa.Array) -> np.ndarray:
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    """(key, chunk, c, n) of the classes of equal sets, without keys that the sketch knows to stand alone."""
+    """(key, c, n) of the classes of equal sets, without keys that the sketch knows to stand alone."""
     bits = width_for(sets.count() * SYMBOLS)
     sketch = sketch_repeated(sets.select("sig"), lambda batch: iter([bucket_keys(_symbols(batch.column("sig"))).ravel()] if batch.num_rows else []), bits)
 
@@ -129,29 +118,44 @@ def _index(sets: DataFrame) -> DataFrame:
                 keys = bucket_keys(_symbols(part.column("sig")))
                 rows, columns = np.nonzero(may_repeat(sketch.value, keys.ravel(), bits).reshape(keys.shape))
                 take = pa.array(rows.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[rows, columns].view(np.int64)), pa.array(_CHUNK_OF_KEY[columns].astype(np.int32)), part.column("c").take(take), part.column("n").take(take)],
-                    ["key", "chunk", "c", "n"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rows, columns].view(np.int64)), part.column("c").take(take), part.column("n").take(take)], ["key", "c", "n"])
+
+    return sets.select("c", "n", "sig").mapInArrow(run, "key long, c long, n long")
 
-    return sets.select("c", "n", "sig").mapInArrow(run, "key long, chunk int, c long, n long")
 
+def _rare_first(texts: DataFrame, words: int, similarity: int, items: int) -> DataFrame:
+    """(token, c, n, at): of the texts (c, text) the shingles of which one at least must be shared by a similar text.
 
-def _second_index(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, c, n, comp) for members of large buckets, by the other chunks with two symbols left out."""
+    Shingles are put in an order that is the same for all texts: those that a sketch knows to occur once, then the
+    others by hash.  Sets of n shingles that are similar enough share one of their first n - ceil(similarity n) + 1;
+    those that occur once can't be it and are not sent, so that a passage in many texts makes no pairs by itself."""
+    bits = width_for(items)
+
+    def shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in slices(batch, "text", 1_000_000):
+            yield np.concatenate([shingle_set(t, words) for t in utf8(part, "text")])
+
+    sketch = sketch_repeated(texts.select("text"), shingles, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                salt = np.asarray(part.column("key")).view(np.uint64)
-                keys = bucket_keys(_symbols(part.column("sig")), 2, np.asarray(part.column("chunk")), salt)
-                rows_, columns = np.nonzero(keys)
-                take = pa.array(rows_.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[rows_, columns].view(np.int64)), *(part.column(x).take(take) for x in ("c", "n", "comp"))], ["key", "c", "n", "comp"])
+            for part in slices(batch, "text", 1_000_000):
+                out = []
+                for c, text in zip(part.column("c").to_pylist(), utf8(part, "text"), strict=True):
+                    own = shingle_set(text, words)
+                    n = len(own)
+                    again = own[may_repeat(sketch.value, own, bits)]
+                    once = n - len(again)
+                    sent = again[: max(0, n - -(-similarity * n // 100) + 1 - once)]
+                    out.append((sent, c, n, once))
+                sizes = [len(x[0]) for x in out]
+                at = np.concatenate([np.arange(len(x[0])) + x[3] for x in out]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), sizes)), pa.array(np.repeat(np.array([x[2] for x in out], np.int64), sizes)), pa.array(at)],
+                    ["token", "c", "n", "at"],
+                )
 
-    joined = rows.join(sets.select("c", "sig"), "c").select("key", "chunk", "c", "n", "comp", "sig")
-    return joined.mapInArrow(run, "key long, c long, n long, comp long")
+    return texts.select("c", "text").mapInArrow(run, "token long, c long, n long, at long")
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +193,7 @@ def _close_in_size(a: str, b: str, similarity: int):
 
 
 class Join:
-    """The join over one table; `links` are pairs of class ids with confirmed similarity, enough for components."""
+    """The join over one table; `reached` gives the component of each class that links with another."""
 
     def __init__(self, texts: DataFrame, words: int, similarity: int):
         self.words, self.similarity = words, similarity
@@ -206,8 +210,11 @@ class Join:
         may = KeyFilter(joined.select("c").distinct(), F.xxhash64("c"))
         picked = texts.withColumn("c", F.col("id")).where(may.may_hold())
         self.texts = materialize(picked.join(self.sets.select("c", "th"), ["c", "th"]).select("c", "text").distinct(), "texts")
-        links = materialize(self._confirmed(self.first), "links")
-        self.links = links.unionByName(self._rest(components(links)))
+        self.reached = components(self._confirmed(self.first))
+        more = materialize(self._rest(self.reached), "more-links")
+        if more.take(1):
+            stars = self.reached.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+            self.reached = components(stars.unionByName(more))
 
     def _near_pairs(self, pairs: DataFrame) -> DataFrame:
         one = self.sets.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
@@ -223,24 +230,36 @@ class Join:
     def _rest(self, reached: DataFrame) -> DataFrame:
         """Links between different components that buckets hold beside those with their smallest member."""
         comp = F.coalesce("component_id", "c").alias("comp")
-        rows = self.keys.join(reached.withColumnRenamed("id", "c"), "c", "left").select("key", "chunk", "c", "n", comp)
-        rows = materialize(rows, "members")
+        reached = reached.withColumnRenamed("id", "c")
+        rows = materialize(self.keys.join(reached, "c", "left").select("key", "c", "n", comp), "members")
         mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
-        mixed = mixed.where("low < high").select("key", "members")
-        active = rows.join(mixed, "key")
-        large = active.where(F.col("members") > SMALL_BUCKET)
-        members = active.where(F.col("members") <= SMALL_BUCKET).select("key", "c", "n", "comp")
-        members = materialize(members.unionByName(_second_index(large.drop("members"), self.sets)), "mixed")
-        a, b = (members.select("key", *[F.col(x).alias(f"{x}_{s}") for x in ("c", "n", "comp")]) for s in "ab")
-        pairs = a.join(b, "key").where("c_a < c_b and comp_a != comp_b").where(_close_in_size("n_a", "n_b", self.similarity))
-        pairs = pairs.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct().join(self.first, ["a", "b"], "left_anti")
+        active = rows.join(mixed.where("low < high").select("key", "members"), "key")
+        members = materialize(active.where(F.col("members") <= SMALL_BUCKET).select("key", "c", "n", "comp"), "small-buckets")
+        pairs = self._cross(members.withColumn("at", F.lit(0)), "key", F.lit(True))
+        large = materialize(active.where(F.col("members") > SMALL_BUCKET).select("c", "n", "comp").distinct(), "large-buckets")
+        if items := large.agg(F.sum("n")).first()[0]:
+            texts = materialize(self.texts.join(large.select("c"), "c", "left_semi"), "large-texts")
+            tokens = _rare_first(texts, self.words, self.similarity, items)
+            tokens = materialize(tokens.join(large.select("c", "comp"), "c"), "tokens")
+            # with what is left of both sets behind a shared shingle they must be able to reach the similarity
+            reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+            enough = reach * (100 + self.similarity) >= (F.col("n_a") + F.col("n_b")) * self.similarity
+            pairs = pairs.unionByName(self._cross(tokens, "token", enough))
+        pairs = pairs.distinct().join(self.first, ["a", "b"], "left_anti")
         return self._confirmed(materialize(self._near_pairs(pairs), "more-pairs"))
 
+    def _cross(self, rows: DataFrame, key: str, condition: Column) -> DataFrame:
+        """(a, b) of rows (key, c, n, comp, at) of one key and different components."""
+        a, b = (rows.select(key, *[F.col(x).alias(f"{x}_{s}") for x in ("c", "n", "comp", "at")]) for s in "ab")
+        close = _close_in_size("n_a", "n_b", self.similarity)
+        pairs = a.join(b, key).where("c_a < c_b and comp_a != comp_b").where(close).where(condition)
+        return pairs.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+
 
 def minhash_components(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """(id, th, n_shingles, component): each row of `docs` by id and hash of its text."""
     join = Join(keyed_texts(docs), words, similarity)
-    reached = components(join.links).select(F.col("id").alias("c"), "component_id")
+    reached = join.reached.withColumnRenamed("id", "c")
     classes = join.classes.join(reached, "c", "left").select("s1", "s2", F.coalesce("component_id", "c").alias("component"))
     rows = join.signed.where("n > 0").join(classes, ["s1", "s2"]).select("id", "th", F.col("n").alias("n_shingles"), "component")
     alone = join.signed.where("n = 0").select("id", "th", F.col("n").alias("n_shingles"), F.col("id").alias("component"))
