@@ -10,27 +10,25 @@ from pyspark.sql import functions as F
 from textloom.llm import bpe, line_dedup, minhash_dedup, mixing, quality
 from textloom.llm.common import shared_folder, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return quality.quality_filter(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+    return quality.quality_filter(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of repeated three-line windows go; documents stay, with their first copies whole."""
-    return line_dedup.line_dedup(docs).select(*COLUMNS)
+    return line_dedup.line_dedup(docs).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five-word shingles, similarity 0.8)."""
-    return minhash_dedup.keep_one_each(docs).select(*COLUMNS)
+    return minhash_dedup.keep_one_each(docs).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat by the target weights of their sources; copies are rows with the same doc_id."""
-    return mixing.mix_sources(docs).select(*COLUMNS)
+    return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
