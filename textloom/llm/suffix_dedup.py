@@ -196,7 +196,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     dealt = regions.repartition("v").sortWithinPartitions("v", "id", "at")
     spans = whole.unionByName(dealt.mapInArrow(_sort_regions, "id long, th long, at int, n int"))
     if large.take(1):
-        windows = search.each_left_over(search.left_over(large), _windows, "id long, th long, at int, w1 long, w2 long")
+        windows = materialize(search.each_left_over(search.left_over(large), _windows, "id long, th long, at int, w1 long, w2 long"), "windows")
         inside = windows.groupBy("w1", "w2", "id", "th").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at")).where("first_at < last_at")
         again = windows.join(inside, ["w1", "w2", "id", "th"]).where("at > first_at")
         for found in (later_rows(windows, ["w1", "w2"]), again):
