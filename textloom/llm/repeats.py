@@ -178,6 +178,10 @@ def covered_mask(length: int, spans: list[dict], window: int) -> np.ndarray:
 
 
 def with_spans(texts: DataFrame, docs_id: Column, spans: DataFrame) -> DataFrame:
-    """(doc_id, text, spans): the spans of each text, a list that its own length bounds."""
+    """(doc_id, text, spans): the spans of each text, a list that its own length bounds.
+
+    Only texts that a filter cannot tell to be without spans are shuffled to be joined."""
     listed = spans.groupBy("id", "th").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    return texts.join(listed, ["id", "th"], "left").select(docs_id.alias("doc_id"), "text", "spans")
+    may = KeyFilter(spans, F.xxhash64("id", "th")).may_hold()
+    joined = texts.where(may).join(listed, ["id", "th"], "left").select(docs_id.alias("doc_id"), "text", "spans")
+    return joined.unionByName(texts.where(~may).select(docs_id.alias("doc_id"), "text", F.lit(None).cast("array<struct<at:int,n:int>>").alias("spans")))
