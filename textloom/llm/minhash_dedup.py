@@ -33,7 +33,7 @@ SYMBOLS, DISTANCE, CHUNKS = 64, 25, 13
 BOUNDS = [round(i * SYMBOLS / CHUNKS) for i in range(CHUNKS + 1)]
 SIMILARITY = 80  # per cent
 #: Buckets of several components with more members go through the second index.
-SMALL_BUCKET = 32
+SMALL_BUCKET = 3
 _FACTORS = np.random.default_rng(9).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
