@@ -2,10 +2,10 @@
 
 Templates are short passages of public licences with mandatory key phrases, and the bare phrases of `PHRASES`.  The
 words of all templates are weighed by inverse document frequency over the whole table.  Of each template only rare
-words are indexed, with their positions.  A file's highest-IDF licence words are looked up; each posting votes for
-the place where the template would have to start, so that postings are intersected by relative position; the
-places that gather enough weight are compared word by word, and a label is given only if the template's key phrases
-stand there word for word.
+words are indexed, with their positions.  All indexed words of a file are looked up; each posting votes for the place
+where the template would have to start, so that postings are intersected by relative position; the places that gather
+the weight without which COVERAGE is out of reach are compared word by word, and a label is given only if the
+template's key phrases stand there word for word.  What a template gets does not depend on what else a file holds.
 """
 
 from __future__ import annotations
@@ -73,10 +73,8 @@ TEMPLATES = {
     "cc-license": ("licensed under a creative commons attribution license", ["creative commons attribution"]),
 }
 
-#: Of a template, at most so many of its rarest words are indexed.
+#: Of a template, so many of its rarest words are indexed, or more until they outweigh what may be missing.
 INDEXED_WORDS = 6
-#: Of a file, so many of its highest-IDF licence words are looked up.
-LOOKED_UP = 12
 #: Share of a template's IDF weight that must stand in place.
 COVERAGE = 0.8
 
@@ -95,11 +93,18 @@ class LicenseIndex:
         self.templates, self.postings = [], defaultdict(list)
         for t, (label, (text, keys)) in enumerate(TEMPLATES.items()):
             words = text.encode().split()
-            rare = sorted(set(words), key=lambda w: (-idf[w], w))[:INDEXED_WORDS]
+            whole, rare = sum(idf[w] for w in words), set()
+            may_miss = (1 - COVERAGE) * whole
+            for w in sorted(set(words), key=lambda w: (-idf[w], w)):
+                if len(rare) >= INDEXED_WORDS and sum(idf[w] for w in words if w in rare) >= 2 * may_miss:
+                    break
+                rare.add(w)
             for i, w in enumerate(words):
                 if w in rare:
                     self.postings[w].append((t, i))
-            self.templates.append((label, words, [k.encode().split() for k in keys], sum(idf[w] for w in words), sum(idf[w] for w in words if w in rare)))
+            # a place that reaches COVERAGE has at least this weight of indexed words
+            least = sum(idf[w] for w in words if w in rare) - may_miss - 1e-9
+            self.templates.append((label, words, [k.encode().split() for k in keys], whole, least))
         self.looked_up = frozenset(self.phrase_anchor) | frozenset(self.postings)
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
@@ -118,14 +123,13 @@ class LicenseIndex:
                 base += [(i - at, label) for i in places[w] if i >= at and words[i - at : i - at + len(phrase)] == phrase]
         found: dict[str, float] = {}
         votes: dict[tuple[int, int], float] = defaultdict(float)
-        best = sorted((w for w in present if w in self.postings), key=lambda w: (-self.idf[w], w))[:LOOKED_UP]
-        for w in best:
+        for w in sorted(present & self.postings.keys()):
             for t, at in self.postings[w]:
                 for i in places[w]:
                     votes[t, i - at] += self.idf[w]
         for (t, start), weight in votes.items():
-            label, template, keys, whole, rare = self.templates[t]
-            if weight < 0.5 * rare or found.get(label) == 1.0:
+            label, template, keys, whole, least = self.templates[t]
+            if weight < least or found.get(label) == 1.0:
                 continue
             # the words in place, and each key phrase word for word somewhere in the passage
             stands = [0 <= start + j < len(words) and words[start + j] == w for j, w in enumerate(template)]
