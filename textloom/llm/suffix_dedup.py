@@ -100,7 +100,8 @@ def equal_prefixes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
 
 def repeated_starts(regions: list[bytes], ids: np.ndarray, hashes: np.ndarray, ats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(region, offset) of each window of the regions that equals an earlier one: one of a smaller id, or one of the
-    same text (id and hash) that starts before it.  ats: where the regions start in their texts."""
+    same text (id and hash) that starts before it.  Windows at one place of rows that agree in id and text are the same
+    window, not earlier ones.  ats: where the regions start in their texts."""
     data = np.frombuffer(b"".join(regions), np.uint8)
     sizes = np.array([len(r) for r in regions], np.int64)
     ends = np.cumsum(sizes)
@@ -119,7 +120,7 @@ def repeated_starts(regions: list[bytes], ids: np.ndarray, hashes: np.ndarray, a
     first = np.repeat(own[begin], np.diff(np.r_[begin, len(group)])) if len(group) else own
     again = np.zeros(len(group), bool)
     place = ats[region] + offset
-    again[1:] = (group[1:] == group[:-1]) & (own[1:] == own[:-1]) & (text[1:] == text[:-1]) & (place[1:] >= place[:-1])
+    again[1:] = (group[1:] == group[:-1]) & (own[1:] == own[:-1]) & (text[1:] == text[:-1]) & (place[1:] > place[:-1])
     gone = (own > first) | again
     return region[gone], offset[gone]
 
@@ -163,7 +164,8 @@ def _spans(region: np.ndarray, offset: np.ndarray, ids, hashes, ats) -> pa.Recor
 
 
 def _sort_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor; whole anchors are gathered to about SORTED_AT_ONCE bytes and sorted together."""
+    """Rows come sorted by anchor, id, hash and place; whole anchors are gathered to about SORTED_AT_ONCE bytes and
+    sorted together.  Of rows that agree in id and text one is looked at, as spans hold for all of them."""
     waiting: list[tuple] = []
     size = 0
 
@@ -177,6 +179,8 @@ def _sort_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if size >= SORTED_AT_ONCE and row[2] != waiting[-1][2]:
                 yield out()
                 waiting, size = [], 0
+            if waiting and row[:4] == waiting[-1][:4]:
+                continue
             waiting.append(row)
             size += len(row[4])
     if waiting:
@@ -193,7 +197,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     regions = search.each_left_over(search.left_over(small), _regions, REGION_SCHEMA)
     # what a filter lets through beside its own may be of a large anchor
     regions = regions.join(large.select("v"), "v", "left_anti").select("id", "th", "v", "at", "region") if large.take(1) else regions
-    dealt = regions.repartition("v").sortWithinPartitions("v", "id", "at")
+    dealt = regions.repartition("v").sortWithinPartitions("v", "id", "th", "at")
     spans = whole.unionByName(dealt.mapInArrow(_sort_regions, "id long, th long, at int, n int"))
     if large.take(1):
         windows = materialize(search.each_left_over(search.left_over(large), _windows, "id long, th long, at int, w1 long, w2 long"), "windows")
