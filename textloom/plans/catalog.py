@@ -548,8 +548,9 @@ def q_part_lines(spark, d):
     return parts.level_parts(three_fields(spark, d)).where("level = 3").select("doc_id", "part_name", "part_no", F.size("tokens").cast("long").alias("n_tokens"))
 
 
-def sequences(spark, d) -> DataFrame:
-    rows = table(spark, d, "embeddings").where("vec_id % 5 <> 0").select(F.floor(F.col("vec_id") / 8).alias("doc_id"), (F.col("vec_id") % 8).cast("int").alias("slot"), F.col("embedding").alias("vec"))
+def sequences(spark, d, vectors: str = "vec_id % 5 <> 0") -> DataFrame:
+    """Eight vectors to a document; the SQL beside the two queries leaves every fifth out, others ask for all."""
+    rows = table(spark, d, "embeddings").where(vectors).select(F.floor(F.col("vec_id") / 8).alias("doc_id"), (F.col("vec_id") % 8).cast("int").alias("slot"), F.col("embedding").alias("vec"))
     return parts.assemble(rows, 8, 64)
 
 
