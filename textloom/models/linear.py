@@ -1,4 +1,4 @@
-"""One-vs-rest linear SVMs over features (doc_id, features) and labels (doc_id, label)."""
+"""One-vs-rest linear SVMs over features (doc_id, features) and labels (doc_id, label)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Multi-label networks in numpy: a perceptron and a stacked LSTM with sigmoid outputs.
+"""Multi-label networks in numpy: a perceptron and a stacked LSTM with sigmoid outputs.
 
 Training runs on one worker over a bounded training table, as the networks are small; scoring is distributed."""
 
@@ -58,7 +58,8 @@ class MLP:
 
 
 class LSTM:
-    """One to three LSTM layers over (rows, steps, width), the last state into sigmoid outputs."""
+    """One to three LSTM layers over (rows, steps, width), the last state into sigmoid outputs.  Without
+    convolution, pooling and recurrent dropout."""
 
     def __init__(self, width: int, outputs: int, units: int = 32, layers: int = 1, dropout: float = 0.0, seed: int = 1234):
         self.rng, self.units, self.layers, self.drop = np.random.default_rng(seed), units, layers, dropout

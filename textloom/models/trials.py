@@ -1,4 +1,4 @@
-"""Parameter search: seeded draws from a grid, trials done before, the best of them."""
+"""Parameter search: seeded draws from a grid, trials done before, the best of them."""
 
 from __future__ import annotations
 
