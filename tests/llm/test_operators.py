@@ -226,9 +226,7 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(H.empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("small", [128, 1])
-def test_minhash_dedup(spark, monkeypatch, small):
-    monkeypatch.setattr(minhash_dedup, "SMALL_BUCKET", small)
+def test_minhash_dedup(spark):
     rng = random.Random(8)
     base = [f"t{rng.randint(0, 4000)}" for _ in range(120)]
     rows = H.edge_rows()
@@ -271,3 +269,40 @@ def test_network_learns():
     y = (x[:, 0] - 2 * x[:, 1] + x[:, 2] > 0).astype(int)
     network = quality.train(x, y)
     assert ((network.probabilities(x) > 0.5) == y).mean() > 0.9 and 0.5 <= network.temperature <= 10
+
+
+def test_minhash_common_passage(spark, monkeypatch):
+    """Many texts that share one passage, beside a group of near copies with a fringe that links with nothing."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    passage, base = [word() for _ in range(60)], [word() for _ in range(150)]
+    rows = [(i, " ".join(passage + [word() for _ in range(rng.randint(8, 90))]), "en", "a", 1) for i in range(2000)]
+    for i in range(2000, 2300):
+        own = list(base)
+        for _ in range(rng.randint(1, 9)):
+            own[rng.randrange(150)] = f"n{rng.randint(0, 9)}"
+        rows.append((i, " ".join(own), "en", "a", 1))
+    made = []
+    whole = minhash_dedup.candidates
+    monkeypatch.setattr(minhash_dedup, "candidates", lambda *a: made.append(whole(*a)) or made[-1])
+    found = minhash_dedup.minhash_dedup(spark.createDataFrame(rows, H.SCHEMA), words=4).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, found.collect())) == H.minhash_expected(rows, 4)
+    assert made
+
+
+@pytest.mark.parametrize("sizes", [(3, 40), (45, 130), (200, 900)])
+def test_candidates_lose_no_similar_pair(spark, sizes):
+    rng = random.Random(sum(sizes))
+    sets = []
+    for g in range(12):
+        base = [g * 10_000 + x for x in range(rng.randint(*sizes))]
+        for _ in range(6):
+            own = {t if rng.random() > 0.07 else rng.randint(10**6, 10**6 + 2000) for t in base[: rng.randint(int(0.75 * len(base)), len(base))]}
+            sets.append(own | set(rng.sample(range(500_000, 500_050), rng.randint(0, 3))))
+    tokens = spark.createDataFrame([(c, len(s), t) for c, s in enumerate(sets) for t in s], "c long, n long, token long")
+    members = spark.createDataFrame([(c, c - c % 2) for c in range(len(sets))], "c long, comp long")
+    got = set(map(tuple, minhash_dedup.candidates(tokens, members, 80).collect()))
+    for a, one in enumerate(sets):
+        for b in range(a + 1, len(sets)):
+            if a // 2 != b // 2 and 100 * len(one & sets[b]) >= 80 * len(one | sets[b]):
+                assert (a, b) in got

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,20 +23,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """This application's folder below the one that driver and executors share.
+
+    A session that names none gets a folder of the machine if all of it runs in one process; on a cluster that is an
+    error, for executors would not see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(named)
-    return named
+    return f"{named.rstrip('/')}/textloom-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write `df` to the shared folder and return a scan of it.  A lost executor loses nothing of it."""
+    """Cut lineage: write `df` to the shared folder and return a scan of it.  A lost executor loses nothing of it.
+
+    What a result still reads stays until `clean`; tables that are spent go with `discard`."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written = path  # for `discard`
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables.  Only for those of which everything made is written itself."""
+    for t in tables:
+        _delete(t.sparkSession, t._written)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has materialized, once its results are written."""
+    _delete(spark, shared_folder(spark))
 
 
 def row_id() -> Column:
@@ -75,21 +102,30 @@ def later_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class KeyFilter:
-    """A bit array over hashed keys: says no only for keys that aren't in the set.  Its size is fixed by `bits`, so
-    it may be broadcast whatever the number of keys; with too many keys it lets more rows pass, never fewer."""
+    """A bit array over hashed keys: says no only for keys that aren't in the set.
 
-    def __init__(self, keys: DataFrame, hashed: Column, bits: int = 26):
+    It has sixteen bits for each key, so that about one other key in sixteen passes, up to 2**MOST_BITS bits, which is
+    what may be broadcast.  For a larger set there is no filter: every row may hold a key, and the join that follows
+    does the work."""
+
+    MOST_BITS = 29
+
+    def __init__(self, keys: DataFrame, hashed: Column):
         """hashed: a long that is spread evenly, made of the columns of `keys` and of the rows tested later."""
-        self.bits, self.hashed = bits, hashed
-        spark = keys.sparkSession
+        self.hashed, spark = hashed, keys.sparkSession
+        wanted = int(np.ceil(np.log2(16 * max(keys.count(), 1))))
+        self.bits = max(18, wanted)
+        if wanted > self.MOST_BITS:
+            self.bits, self.shared = 0, spark.sparkContext.broadcast(np.full(1, 255, np.uint8))
+            return
         slot = self._slot()
         parts = (
             keys.select(slot.alias("slot"))
             .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
         )
-        found = parts.collect()  # at most 2**bits / 8 bytes
-        whole = np.zeros(2**bits // 8 + 4096, np.uint8)
+        found = parts.toLocalIterator()  # 2**bits / 8 bytes
+        whole = np.zeros(2**self.bits // 8 + 4096, np.uint8)
         for bucket, bitmap in found:
             at = (bucket - 1) * 4096
             whole[at : at + len(bitmap)] = np.frombuffer(bitmap, np.uint8)
@@ -100,6 +136,8 @@ class KeyFilter:
 
     def may_hold(self) -> Column:
         """True for each row whose key may be in the set."""
+        if not self.bits:
+            return F.lit(True)
         shared, bits = self.shared, self.bits
 
         @F.pandas_udf("boolean")
@@ -115,11 +153,33 @@ def holds(bitmap: np.ndarray, bits: int, hashed: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+#: Edges of which the centres' minima may be broadcast (24 bytes each).
+BROADCAST_EDGES = 200_000
+#: A centre with more edges than this, and than one in HEAVY_SHARE of all, is heavy; so there are under HEAVY_SHARE.
+HEAVY, HEAVY_SHARE = 100_000, 10_000
+
+
+def _with_least(rows: DataFrame, n: int) -> DataFrame:
+    """`rows` (u, v), n of them, with m: the smallest v of their u.
+
+    The minima are pre-aggregated.  They come to the rows by broadcast where the rows are few; else those of heavy
+    centres do, of which there are few, and only the rows of the others are shuffled, so that no task gets a centre."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    if n <= BROADCAST_EDGES:
+        return rows.join(F.broadcast(least.drop("n")), "u")
+    limit = max(HEAVY, n // HEAVY_SHARE)
+    heavy = F.broadcast(least.where(F.col("n") > limit).select("u", F.col("m").alias("heavy_m")))
+    marked = rows.join(heavy, "u", "left")
+    light = marked.where("heavy_m is null").drop("heavy_m").join(least.where(F.col("n") <= limit).drop("n"), "u")
+    return light.unionByName(marked.where("heavy_m is not null").withColumnRenamed("heavy_m", "m"))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component_id) for every id in `edges` (a, b); the component id is the smallest id that can be reached.
 
-    Alternates large and small stars until the edges stay as they are, each round written to the shared folder.
-    Neighbourhoods are only ever reduced to their minimum, so a centre with a third of all ids is no single task."""
+    Alternates large and small stars until the edges stay as they are, each round written to the shared folder and
+    the one before deleted.  Neighbourhoods are only ever reduced to their minimum (`_with_least`)."""
+
     def state(rows: DataFrame) -> tuple:
         return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -128,11 +188,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = state(now)
     for _ in range(most_rounds if mark[0] else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        large = _with_least(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = materialize(large.distinct(), "edges")
+        small = _with_least(large, mark[0]).select("u", "v", "m")
+        # a centre links with its minimum, its other neighbours do too
+        linked = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        before, now = now, materialize(linked.distinct(), "edges")
+        discard(before, large)
         if (said := state(now)) == mark:
             break
         mark = said

@@ -8,10 +8,12 @@ most one differing symbol, so that every chunk is indexed once with each of its
 Links are confirmed on the full sets.  A pair at similarity 0.8 differs in 12.8 symbols on average with a standard
 deviation of 3.2, so that about one in ten thousand such pairs lies beyond the distance; more similar ones less.
 
-No bucket is expanded into all its pairs.  Members are first compared with the smallest member of their bucket;
-only in buckets that this leaves in several components are members of different components compared.  Members of
-large buckets of that sort - texts that share a common passage - are compared where they share one of the shingles
-that come first in an order from rare to frequent, which loses no similar pair either.
+No bucket is expanded into all its pairs.  Members are first compared with the smallest member of their bucket, which
+links groups of copies.  What is left are members of buckets that hold several components: texts that share a common
+passage, and the fringe of large groups.  No index over signatures alone can tell those apart without comparing each
+with each, for they lie just beyond the threshold.  Of them two members of different components are candidates only if
+their full sets can still reach the similarity: shingles are put in order of their true frequency among these texts,
+the rarest first, and two sets that are similar enough share a shingle that stands early in both (`candidates`).
 """
 
 from __future__ import annotations
@@ -25,15 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, KeyFilter, components, keyed_texts, materialize, row_id, slices, table, utf8
+from .common import NULL_ID, KeyFilter, components, discard, keyed_texts, materialize, row_id, slices, table, utf8
 from .sketch import may_repeat, sketch_repeated, width_for
 from .windows import gram_hashes, mix
 
 SYMBOLS, DISTANCE, CHUNKS = 64, 25, 13
 BOUNDS = [round(i * SYMBOLS / CHUNKS) for i in range(CHUNKS + 1)]
 SIMILARITY = 80  # per cent
-#: Buckets of several components with more members go through the second index.
-SMALL_BUCKET = 3
+#: Sizes of sets fall in classes, each so much wider than the one before from FINE on, where every size has its own.
+FINE, WIDER = 50, 1.02
 _FACTORS = np.random.default_rng(9).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -107,7 +109,7 @@ def _symbols(column: pa.Array) -> np.ndarray:
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    """(key, c, n) of the classes of equal sets, without keys that the sketch knows to stand alone."""
+    """(key, c) of the classes of equal sets, without keys that the sketch knows to stand alone."""
     bits = width_for(sets.count() * SYMBOLS)
     sketch = sketch_repeated(sets.select("sig"), lambda batch: iter([bucket_keys(_symbols(batch.column("sig"))).ravel()] if batch.num_rows else []), bits)
 
@@ -118,44 +120,73 @@ def _index(sets: DataFrame) -> DataFrame:
                 keys = bucket_keys(_symbols(part.column("sig")))
                 rows, columns = np.nonzero(may_repeat(sketch.value, keys.ravel(), bits).reshape(keys.shape))
                 take = pa.array(rows.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[rows, columns].view(np.int64)), part.column("c").take(take), part.column("n").take(take)], ["key", "c", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rows, columns].view(np.int64)), part.column("c").take(take)], ["key", "c"])
 
-    return sets.select("c", "n", "sig").mapInArrow(run, "key long, c long, n long")
+    return sets.select("c", "sig").mapInArrow(run, "key long, c long")
 
 
-def _rare_first(texts: DataFrame, words: int, similarity: int, items: int) -> DataFrame:
-    """(token, c, n, at): of the texts (c, text) the shingles of which one at least must be shared by a similar text.
-
-    Shingles are put in an order that is the same for all texts: those that a sketch knows to occur once, then the
-    others by hash.  Sets of n shingles that are similar enough share one of their first n - ceil(similarity n) + 1;
-    those that occur once can't be it and are not sent, so that a passage in many texts makes no pairs by itself."""
-    bits = width_for(items)
-
-    def shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in slices(batch, "text", 1_000_000):
-            yield np.concatenate([shingle_set(t, words) for t in utf8(part, "text")])
-
-    sketch = sketch_repeated(texts.select("text"), shingles, bits)
+def _shingles(words: int):
+    """(c, n, token) for each shingle of the texts (c, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
-                out = []
-                for c, text in zip(part.column("c").to_pylist(), utf8(part, "text"), strict=True):
-                    own = shingle_set(text, words)
-                    n = len(own)
-                    again = own[may_repeat(sketch.value, own, bits)]
-                    once = n - len(again)
-                    sent = again[: max(0, n - -(-similarity * n // 100) + 1 - once)]
-                    out.append((sent, c, n, once))
-                sizes = [len(x[0]) for x in out]
-                at = np.concatenate([np.arange(len(x[0])) + x[3] for x in out]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), sizes)), pa.array(np.repeat(np.array([x[2] for x in out], np.int64), sizes)), pa.array(at)],
-                    ["token", "c", "n", "at"],
-                )
-
-    return texts.select("c", "text").mapInArrow(run, "token long, c long, n long, at long")
+                sets = [shingle_set(t, words) for t in utf8(part, "text")]
+                sizes = np.array([len(x) for x in sets])
+                rows = pa.array(np.repeat(np.arange(len(sets)), sizes).astype(np.int32))
+                tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column("c").take(rows), pa.array(np.repeat(sizes, sizes)), pa.array(tokens.view(np.int64))], ["c", "n", "token"])
+
+    return run
+
+
+def _size_class(n: Column) -> Column:
+    return F.when(n < FINE, n).otherwise(FINE + F.floor(F.log(n / FINE) / F.log(F.lit(WIDER)))).cast("int")
+
+
+def _least_of(size_class: Column) -> Column:
+    """No set of the class is smaller (one less, as logarithms are rounded)."""
+    return F.when(size_class < FINE, size_class).otherwise(F.floor(FINE * F.pow(F.lit(WIDER), size_class - FINE)) - 1).cast("long")
+
+
+def _least_common(n: Column, m: Column, similarity: int) -> Column:
+    """Shingles that sets of n and m have in common at least if they are similar enough."""
+    return F.expr("1") * F.ceil(similarity * (n + m) / (100 + similarity) - 1e-9)
+
+
+def candidates(tokens: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
+    """(a, b) of the sets (c, n, token) of `members` (c, comp) that belong to different components and may be similar.
+
+    Shingles are ordered by how many of these sets have them, then by hash.  Of sets of n <= m shingles with an overlap
+    of o or more, the first common shingle stands among the first n - o + 1 of the one and m - o + 1 of the other.  A set
+    is indexed for partners of its own size and more, and asks for each class of smaller sizes with as many shingles as
+    that class needs.  Shingles of one set only are counted but not sent."""
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    listed = tokens.join(counts, "token").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("l"))  # bounded by the text
+    listed = listed.join(members, "c").select("c", "comp", "n", F.transform("l", lambda x: x["token"]).alias("l"), (F.col("n") - F.size("l")).alias("once"))
+    n = F.col("n")
+
+    def sent(least_common: Column) -> Column:
+        return F.slice("l", 1, F.greatest(n - least_common + 1 - F.col("once"), F.lit(0)).cast("int"))
+
+    indexed = listed.select("c", "comp", "n", _size_class(n).alias("size"), F.explode(sent(_least_common(n, n, similarity))).alias("token"))
+    smallest = F.ceil(n * similarity / 100 - 1e-9)
+    asked = listed.withColumn("size", F.explode(F.sequence(_size_class(smallest), _size_class(n))))
+    other = F.greatest(_least_of(F.col("size")), smallest)
+    asked = asked.select("c", "comp", "n", "size", F.explode(sent(_least_common(n, other, similarity))).alias("token"))
+    both = materialize(indexed.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True))), "prefixes")
+    # of a key of several components, `main` is the one with most rows: its own rows are not put against each other
+    per = both.groupBy("size", "token", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    keys = per.groupBy("size", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("comp", F.struct("rows", "comp")).alias("main"))
+    mixed = materialize(both.join(keys.where("low < high").select("size", "token", "main"), ["size", "token"]), "mixed-prefixes")
+    named = lambda rows, x: rows.select("size", "token", "main", *[F.col(y).alias(f"{y}_{x}") for y in ("c", "comp", "n")])
+    index, probe = named(mixed.where("not asks"), "a"), named(mixed.where("asks"), "b").drop("main")
+    fits = (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") * 100 >= F.col("n_b") * similarity)
+    found = None
+    for here, there in ((index.where("comp_a != main"), probe), (index.where("comp_a = main"), named(mixed.where("asks and comp != main"), "b").drop("main"))):
+        pairs = here.join(there, ["size", "token"]).where(fits).select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,21 +231,22 @@ class Join:
         self.signed = materialize(texts.mapInArrow(_sign(words), "id long, th long, n long, s1 long, s2 long, sig binary"), "signatures")
         classes = self.signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("c"))
         self.classes = materialize(classes, "sets")
-        keyed = self.signed.where("n > 0").join(classes.select("s1", "s2", "c"), ["s1", "s2"]).where("id = c")
+        keyed = self.signed.where("n > 0").join(self.classes.select("s1", "s2", "c"), ["s1", "s2"]).where("id = c")
         self.sets = materialize(keyed.groupBy("s1", "s2", "c", "n").agg(F.min("th").alias("th"), F.first("sig").alias("sig")), "signed-sets")
         self.keys = materialize(_index(self.sets), "keys")
         hubs = self.keys.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("last")).where("hub < last").select("key", "hub")
         joined = self.keys.join(hubs, "key")
         own = joined.where("c != hub").select(F.col("c").alias("b"), F.col("hub").alias("a"))
-        self.first = materialize(self._near_pairs(own.distinct()), "pairs")
-        may = KeyFilter(joined.select("c").distinct(), F.xxhash64("c"))
-        picked = texts.withColumn("c", F.col("id")).where(may.may_hold())
+        first = materialize(self._near_pairs(own.distinct()), "pairs")
+        several = materialize(joined.select("c").distinct(), "several")
+        picked = texts.withColumn("c", F.col("id")).where(KeyFilter(several, F.xxhash64("c")).may_hold())
         self.texts = materialize(picked.join(self.sets.select("c", "th"), ["c", "th"]).select("c", "text").distinct(), "texts")
-        self.reached = components(self._confirmed(self.first))
-        more = materialize(self._rest(self.reached), "more-links")
+        self.reached = materialize(components(self._confirmed(first)), "reached")
+        more = materialize(self._rest(first), "more-links")
         if more.take(1):
             stars = self.reached.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-            self.reached = components(stars.unionByName(more))
+            self.reached = materialize(components(stars.unionByName(more)), "reached")
+        discard(self.sets, self.keys, first, several, self.texts, more)
 
     def _near_pairs(self, pairs: DataFrame) -> DataFrame:
         one = self.sets.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
@@ -227,34 +259,17 @@ class Join:
         joined = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
         return joined.mapInArrow(_confirm(self.words, self.similarity), "a long, b long")
 
-    def _rest(self, reached: DataFrame) -> DataFrame:
+    def _rest(self, first: DataFrame) -> DataFrame:
         """Links between different components that buckets hold beside those with their smallest member."""
-        comp = F.coalesce("component_id", "c").alias("comp")
-        reached = reached.withColumnRenamed("id", "c")
-        rows = materialize(self.keys.join(reached, "c", "left").select("key", "c", "n", comp), "members")
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
-        active = rows.join(mixed.where("low < high").select("key", "members"), "key")
-        members = materialize(active.where(F.col("members") <= SMALL_BUCKET).select("key", "c", "n", "comp"), "small-buckets")
-        pairs = self._cross(members.withColumn("at", F.lit(0)), "key", F.lit(True))
-        large = materialize(active.where(F.col("members") > SMALL_BUCKET).select("c", "n", "comp").distinct(), "large-buckets")
-        if items := large.agg(F.sum("n")).first()[0]:
-            texts = materialize(self.texts.join(large.select("c"), "c", "left_semi"), "large-texts")
-            tokens = _rare_first(texts, self.words, self.similarity, items)
-            tokens = materialize(tokens.join(large.select("c", "comp"), "c"), "tokens")
-            # with what is left of both sets behind a shared shingle they must be able to reach the similarity
-            reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-            enough = reach * (100 + self.similarity) >= (F.col("n_a") + F.col("n_b")) * self.similarity
-            pairs = pairs.unionByName(self._cross(tokens, "token", enough))
-        pairs = pairs.distinct().join(self.first, ["a", "b"], "left_anti")
+        rows = self.keys.join(self.reached.withColumnRenamed("id", "c"), "c", "left").select("key", "c", F.coalesce("component_id", "c").alias("comp"))
+        rows = materialize(rows, "members")
+        mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        members = materialize(rows.join(mixed, "key", "left_semi").select("c", "comp").distinct(), "mixed-members")
+        texts = self.texts.join(members.select("c"), "c", "left_semi")
+        tokens = materialize(texts.mapInArrow(_shingles(self.words), "c long, n long, token long"), "shingles")
+        pairs = candidates(tokens, members, self.similarity).join(first, ["a", "b"], "left_anti")
         return self._confirmed(materialize(self._near_pairs(pairs), "more-pairs"))
 
-    def _cross(self, rows: DataFrame, key: str, condition: Column) -> DataFrame:
-        """(a, b) of rows (key, c, n, comp, at) of one key and different components."""
-        a, b = (rows.select(key, *[F.col(x).alias(f"{x}_{s}") for x in ("c", "n", "comp", "at")]) for s in "ab")
-        close = _close_in_size("n_a", "n_b", self.similarity)
-        pairs = a.join(b, key).where("c_a < c_b and comp_a != comp_b").where(close).where(condition)
-        return pairs.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
-
 
 def minhash_components(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """(id, th, n_shingles, component): each row of `docs` by id and hash of its text."""
@@ -282,10 +297,10 @@ def keep_one_each(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY)
     """The rows of `docs`, with all their columns, whose doc_id is the smallest of their component.
 
     Rows that repeat both doc_id and text all stay or all go."""
-    found = minhash_components(docs, words, similarity)
-    gone = found.where("id != component").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    gone = minhash_components(docs, words, similarity).where("id != component").select("id", "th").distinct()
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(gone, (row_id() == F.col("__id")) & (text_hash == F.col("__th")), "left_anti")
+    packed = docs.select(row_id().alias("id"), text_hash.alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return packed.join(gone, ["id", "th"], "left_anti").select("row.*")
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,7 @@ class Repeats:
     def left_over(self, anchors_wanted: DataFrame) -> KeyFilter:
         """A filter for the runs still to be looked at: of each class with such an anchor those under its first id."""
         wanted = self.classes.join(anchors_wanted.select("v"), "v", "left_semi").select("k1", "first_id")
+        wanted = materialize(wanted, "wanted")
         return KeyFilter(wanted, _run_key(F.col("k1"), F.col("first_id")))
 
     def each_left_over(self, wanted: KeyFilter, columns: Callable[[pa.RecordBatch, Part, dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

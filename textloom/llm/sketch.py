@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from .windows import mix
 
 DEPTH, SHARD_BITS = 2, 6
-#: Cells of a row as a power of two: four for each expected item, between these bounds (2**26 cells: 8 MB a row).
-FEWEST_BITS, MOST_BITS = 18, 26
+#: Cells of a row as a power of two: four for each expected item, between these bounds (2**30 cells: 128 MB a row).
+#: Beyond some 270 million items rows fill up: more single items pass, and the exact stage behind has more to group.
+FEWEST_BITS, MOST_BITS = 18, 30
 #: Items gathered before a partition sends what it has.
 FLUSH = 1_000_000
 
