@@ -8,8 +8,8 @@ most one differing symbol, so that every chunk is indexed once with each of its
 Links are confirmed on the full sets.  A pair at similarity 0.8 differs in 12.8 symbols on average with a standard
 deviation of 3.2, so that about one in ten thousand such pairs lies beyond the distance; more similar ones less.
 
-No bucket is expanded into all its pairs.  Members are first compared with the smallest member of their bucket, which
-links groups of copies.  What is left are members of buckets that hold several components: texts that share a common
+No bucket is expanded into all its pairs.  Members are first compared with the smallest members of their buckets, the
+one they share most buckets with before the others, which links groups of copies.  What is left are members of buckets that hold several components: texts that share a common
 passage, and the fringe of large groups.  No index over signatures alone can tell those apart without comparing each
 with each, for they lie just beyond the threshold.  Of them two members of different components are candidates only if
 their full sets can still reach the similarity: shingles are put in order of their true frequency among these texts,
@@ -236,17 +236,30 @@ class Join:
         self.keys = materialize(_index(self.sets), "keys")
         hubs = self.keys.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("last")).where("hub < last").select("key", "hub")
         joined = self.keys.join(hubs, "key")
-        own = joined.where("c != hub").select(F.col("c").alias("b"), F.col("hub").alias("a"))
-        first = materialize(self._near_pairs(own.distinct()), "pairs")
+        # hubs of each member, the one it shares most keys with marked: copies link there, and need the others no more
+        own = joined.where("c != hub").groupBy(F.col("c").alias("b"), F.col("hub").alias("a")).agg(F.count(F.lit(1)).alias("shared"))
+        best = own.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("best"))
+        hubbed = materialize(own.join(best, "b").select("a", "b", (F.col("a") == F.col("best")).alias("best")), "hubs")
         several = materialize(joined.select("c").distinct(), "several")
         picked = texts.withColumn("c", F.col("id")).where(KeyFilter(several, F.xxhash64("c")).may_hold())
         self.texts = materialize(picked.join(self.sets.select("c", "th"), ["c", "th"]).select("c", "text").distinct(), "texts")
+        first = materialize(self._near_pairs(hubbed.where("best").select("a", "b")), "pairs")
         self.reached = materialize(components(self._confirmed(first)), "reached")
-        more = materialize(self._rest(first), "more-links")
-        if more.take(1):
-            stars = self.reached.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-            self.reached = materialize(components(stars.unionByName(more)), "reached")
-        discard(self.sets, self.keys, first, several, self.texts, more)
+        comp_a, comp_b = (self.reached.select(F.col("id").alias(x), F.col("component_id").alias(f"comp_{x}")) for x in "ab")
+        apart = hubbed.where("not best").join(comp_a, "a", "left").join(comp_b, "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+        second = materialize(self._near_pairs(apart.select("a", "b")), "pairs")
+        self._extend(self._confirmed(second))
+        self._extend(self._rest(first.unionByName(second)))
+        discard(self.sets, self.keys, hubbed, first, second, several, self.texts)
+
+    def _extend(self, links: DataFrame) -> None:
+        links = materialize(links, "more-links")
+        if links.take(1):
+            before = self.reached
+            stars = before.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+            self.reached = materialize(components(stars.unionByName(links)), "reached")
+            discard(before)
+        discard(links)
 
     def _near_pairs(self, pairs: DataFrame) -> DataFrame:
         one = self.sets.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
