@@ -1,10 +1,9 @@
 """Loops written out plainly against the relational forms, folds on hand-made cases, and invariants of models."""
 
 import zipfile
-from xml.etree import ElementTree
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -69,36 +68,39 @@ def _scores(spark, true, pred, score=None):
     return spark.createDataFrame(rows, "doc_id long, label_id int, y_true int, y_score double, y_pred int")
 
 
-def _loop_confusion(true, pred):
+def _ranked_confusion(true, pred):
+    """By the stated rule, from ranks: the missed label of rank k pairs with the false one of rank 2 k."""
     n = true.shape[1]
     out = np.zeros((n + 1, n + 1), int)
-    for t, p in zip(true, pred, strict=True):
-        both = {i for i in range(n) if t[i] and p[i]}
-        fn, fp = sorted(i for i in range(n) if t[i] and i not in both), [i for i in range(n) if p[i] and i not in both]
-        for i in both:
-            out[i, i] += 1
-        k = 0
-        for i in fn:
-            if len(fp) <= k:
-                break
-            out[i, fp.pop(k)] += 1
-            k += 1
-        for i in fn[k:]:
-            out[i, n] += 1
-        for i in fp:
-            out[n, i] += 1
+    hit, missed, false = true & pred, true & ~pred, pred & ~true
+    out[np.arange(n), np.arange(n)] = hit.sum(0)
+    for m, f in zip(missed, false, strict=True):
+        wrong = dict(enumerate(np.flatnonzero(f)))
+        pairs = [(label, wrong.pop(2 * rank, n)) for rank, label in enumerate(np.flatnonzero(m))]
+        for at in [*pairs, *((n, label) for label in wrong.values())]:
+            out[at] += 1
     return out
 
 
-def test_confusion_equals_the_loop(spark):
+def _confusion(spark, true, pred):
+    n = true.shape[1]
+    got = np.zeros((n + 1, n + 1), int)
+    for r in metrics.confusion(_scores(spark, true, pred)).collect():
+        got[n if r["true_label"] is None else r["true_label"], n if r["pred_label"] is None else r["pred_label"]] = r["n"]
+    return got
+
+
+def test_confusion_by_ranks(spark):
     rng = np.random.default_rng(4)
-    golden = (np.array([[1, 0, 0], [1, 0, 1], [0, 1, 0], [0, 1, 0], [0, 0, 1], [0, 1, 1]]), np.array([[0, 1, 0], [1, 0, 0], [0, 0, 1], [0, 1, 0], [1, 0, 1], [1, 0, 1]]))
-    for true, pred in (golden, (rng.integers(0, 2, (60, 7)), rng.integers(0, 2, (60, 7)))):
-        n = true.shape[1]
-        got = np.zeros((n + 1, n + 1), int)
-        for r in metrics.confusion(_scores(spark, true, pred)).collect():
-            got[n if r["true_label"] is None else r["true_label"], n if r["pred_label"] is None else r["pred_label"]] = r["n"]
-        assert (got == _loop_confusion(true, pred)).all()
+    golden = (np.array([[1, 0, 0], [1, 0, 1], [0, 1, 0], [0, 1, 0], [0, 0, 1], [0, 1, 1]]) > 0, np.array([[0, 1, 0], [1, 0, 0], [0, 0, 1], [0, 1, 0], [1, 0, 1], [1, 0, 1]]) > 0)
+    for true, pred in (golden, (rng.random((60, 7)) < 0.5, rng.random((60, 7)) < 0.5)):
+        assert (_confusion(spark, true, pred) == _ranked_confusion(true, pred)).all()
+
+
+def test_confusion_by_hand(spark):
+    """Two missed and three false: the first misses pair with the first and the third false one."""
+    true, pred = np.array([[1, 1, 0, 0, 0, 1]]) > 0, np.array([[0, 0, 1, 1, 1, 1]]) > 0
+    assert np.argwhere(_confusion(spark, true, pred)).tolist() == [[0, 2], [1, 4], [5, 5], [6, 3]]
 
 
 def test_top_n_with_ties(spark):
@@ -120,19 +122,47 @@ def test_weights_guard_their_logarithms(spark):
     assert all(r["tf_idf"] == 0.0 and r["bm25"] == 0.0 for r in rows if r["term"] == "alpha" and r["split"] == "test")
 
 
-def test_paragraph_folds():
-    root = ElementTree.fromstring("<d><heading>Title</heading><p>Text of it.</p><ul><li>one</li><li>two;</li></ul><description-of-drawings><heading>H</heading><p>is shown</p><p>fig two</p></description-of-drawings></d>")
-    assert passages.paragraphs(root) == ["Title Text of it. one. two.", "H is shown fig two. "]
-    assert passages.enforce_length(["1.", "x" * 60]) == [" 1. " + "x" * 60]
-    assert passages.enforce_length([]) == [] and passages.enforce_length(["x" * 60, "short"]) == ["x" * 60 + " short"]
-    assert passages.join_single(["a" * 60 + ".", "b" * 60 + "."]) == ["a" * 60 + ". " + "b" * 60 + "."]
-    assert passages.raw_sentences("See fig. 2 for it. Then Go.") == ["See fig. 2 for it.", "Then Go."]
+def _one(spark, expression, values, kind):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r["x"] for r in rows.select("i", expression(F.col("v")).alias("x")).orderBy("i").collect()]
+
+
+def test_paragraphs_of_trees(spark):
+    tree = "<d>\n<heading>Title</heading><p>Text <!-- no -->of\nit.</p> beside <ul><li>one <b>bold</b>\n tail</li><li>two;</li></ul><description-of-drawings>none<heading>H</heading><p>is shown</p><p>fig two</p></description-of-drawings><p> </p></d>"
+    rows = spark.createDataFrame([(1, tree), (2, "<broken"), (3, None)], "k long, v string")
+    got = [tuple(r) for r in passages.paragraphs_of(rows, "k", "v", join_sentences=False).collect()]
+    assert got == [(1, 0, "Title Text of it. one. bold\n tailtwo."), (1, 1, "H is shown fig two. ")]
+    page = "<html><script>var p='<p>'</script><h1>A title</h1>x<p>Some <i>text</i> &amp; more<ul><li>one<li>two</ul><p></p></html>"
+    found = passages.paragraphs_of(spark.createDataFrame([(1, page)], "k long, v string"), "k", "v", html=True, join_sentences=False)
+    assert [r["paragraph"] for r in found.collect()] == ["A title Some text & more one. two."]
+
+
+def test_sentences(spark):
+    assert _one(spark, passages.raw_sentences, ["See fig. 2 for it. Then Go.", "", "One! (Two) U.S. Army. \"Three?\" 4"], "string") == [["See fig. 2 for it.", "Then Go."], [], ["One!", "(Two) U.S. Army.", "\"Three?\"", "4"]]
+    x, y = "x" * 60, "y" * 60
+    lists = [["1.", x], [], [x, "short", y], ["a", "b"], ["z" * 45, "z" * 10, x], [x, "1.2.3.4 " * 9], ["  ", y]]
+    assert _one(spark, passages.enforce_length, lists, "array<string>") == [[" 1. " + x], [], [x + " short", y], [" a b"], [" " + "z" * 45 + " " + "z" * 10, x], [x + " " + ("1.2.3.4 " * 9).strip()], [y]]
+
+
+def test_single_sentences_are_joined(spark):
+    one, two = lambda c: c * 60, lambda c: c.upper() * 60 + ". " + c.upper() * 60 + "."
+    lists = [[one("a") + ".", one("b") + "."], [one("a"), two("b"), one("c")], [two("a"), one("b"), two("c"), one("d"), one("e")], [one("a")], [], [two("a"), "", one("b"), two("c")]]
+    want = [
+        [one("a") + ". " + one("b") + "."],
+        [one("a") + ". " + two("b").strip(".") + ". " + one("c")],
+        [two("a").strip(".") + ". " + one("b"), two("c"), one("d") + ". " + one("e")],
+        [one("a")],
+        [],
+        [two("a"), "", one("b") + ". " + two("c")],
+    ]
+    assert _one(spark, passages.joined_singles, lists, "array<string>") == want
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.text("ab. AB1", max_size=90), max_size=8))
-def test_length_fold_loses_no_word(sentences):
-    assert "".join("".join(passages.enforce_length(sentences)).split()) == "".join("".join(sentences).split())
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.text("ab. AB1", max_size=90), max_size=8), max_size=60))
+def test_length_rule_loses_no_word(spark, lists):
+    for before, after in zip(lists, _one(spark, passages.enforce_length, lists, "array<string>") if lists else [], strict=True):
+        assert "".join("".join(after).split()) == "".join("".join(before).split())
 
 
 def test_archive_to_patents(spark, tmp_path):

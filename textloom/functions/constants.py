@@ -10,6 +10,7 @@ SPACE = "[ \\t-\\r]+"
 PEEL = "^(?s:([.,!?;:]*)(.+?)([.,!?;:]?))$"
 NUMERIC = "^[+-]?(nan|inf|infinity|([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?)$"
 IPC = "([A-H][0-9]{2}[A-Z][0-9]{2,4})"
+WHITE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 MIN_SENTENCE, MAX_TABLE_ROW, MIN_PARAGRAPH = 50, 100, 50
 ABBREVIATIONS = (
     "u.s fig figs no ser jan feb mar apr may jun jul aug sep oct nov dec proc natl sci al biochem mol res biophys commun acad "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,9 +85,19 @@ def is_table_row(sentence: Column) -> Column:
     return (F.length(sentence) < K.MAX_TABLE_ROW) & (F.length(sentence) - F.length(F.replace(sentence, F.lit("."), F.lit(""))) > 2)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any sort at both ends."""
+    return F.btrim(text, F.lit(K.WHITE))
+
+
 def sentence_end(text: Column) -> Column:
     """T2."""
-    return F.when(F.btrim(text) != "", F.concat(F.btrim(F.btrim(text), F.lit(";.")), F.lit(". "))).otherwise(text)
+    return let(trimmed(text), lambda t: F.when(t != "", F.concat(F.btrim(t, F.lit(";.")), F.lit(". "))).otherwise(text))
 
 
 def part_id(doc_id: Column, part_name: Column, part_no: Column) -> Column:

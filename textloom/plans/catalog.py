@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,15 +130,65 @@ def q_table_rows(spark, d):
     return rows.groupBy("doc_id").agg(F.count(F.when(X.is_table_row(F.col("s")), 1)).alias("n_table_rows"), F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("q_sentence_min_len")
+_CUT, _WHITE = passages._CUT, K.WHITE
+
+
+def sentences_sql(source: str) -> str:
+    """CTEs that end with `sentence` (k, h, s): T9 and T10 over rows (k, text) of `source`."""
+    return rf"""pieces AS (SELECT k, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT k, string_split(regexp_replace(text, '([.!?]["'')\]]*[ \t-\r]+)(["''(\[]?[A-Z0-9])', '\1{_CUT}\2', 'g'), '{_CUT}') AS p FROM {source})),
+flagged AS (SELECT *, lag(x) OVER (PARTITION BY k ORDER BY i) AS before FROM pieces),
+running AS (SELECT *, sum((NOT coalesce(list_contains({quoted(dict.fromkeys(K.ABBREVIATIONS))}, trim(lower(regexp_extract(before, '([^ \t-\r]*)[.]["'')\]]*[ \t-\r]*$', 1)), '"''([')), false))::INT) OVER (PARTITION BY k ORDER BY i) AS g FROM flagged),
+raw_sentence AS (SELECT k, g, trim(string_agg(x, '' ORDER BY i), '{_WHITE}') AS s FROM running GROUP BY k, g),
+standing AS (SELECT *, len(s) >= 50 AND NOT (len(s) < 100 AND len(s) - len(replace(s, '.', '')) > 2) AS stands FROM raw_sentence WHERE s <> ''),
+lined AS (SELECT *, sum(stands::INT) OVER (PARTITION BY k ORDER BY g) AS h FROM standing),
+long_enough AS (SELECT k, h, CASE WHEN h = 0 THEN ' ' ELSE '' END || string_agg(s, ' ' ORDER BY g) AS s FROM lined GROUP BY k, h),
+moved AS (SELECT k, h, s, CASE WHEN h = 0 AND len(s) < 50 AND count(*) OVER (PARTITION BY k) > 1 THEN 1 ELSE h END AS home FROM long_enough),
+sentence AS (SELECT k, home AS h, string_agg(s, ' ' ORDER BY h) AS s FROM moved GROUP BY k, home)"""
+
+
+@query("q_sentence_min_len", f"WITH source AS (SELECT doc_id AS k, coalesce(text, '') AS text FROM documents), {sentences_sql('source')} SELECT doc_id, count(s)::INT AS n_sentences, min(len(s))::INT AS shortest, md5(coalesce(string_agg(s, '|' ORDER BY h), '')) AS digest FROM documents LEFT JOIN sentence ON doc_id = k GROUP BY doc_id")
 def q_sentence_min_len(spark, d):
     """T9, T10."""
-    @F.pandas_udf("array<int>")
-    def sizes(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [len(s) for s in passages.sentences(t)])
+    rows = docs(spark, d).select("doc_id", passages.sentences(F.col("text")).alias("s"))
+    return rows.select("doc_id", F.size("s").alias("n_sentences"), F.array_min(F.transform("s", F.length)).alias("shortest"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
+
+
+_NODES = f"node AS (SELECT doc_id, i, trim(x, '{_WHITE}') AS text, CASE WHEN i % 7 = 1 THEN 'heading' WHEN i % 7 = 5 THEN '{passages.DRAWINGS}' ELSE 'p' END AS tag FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
+_PARAGRAPHS = f"""{_NODES}, near AS (SELECT *, lag(tag) OVER w AS tag_before, lag(text) OVER w AS text_before FROM node WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+opened AS (SELECT *, tag = '{passages.DRAWINGS}' OR NOT coalesce((tag = 'p' AND tag_before = 'heading') OR len(text_before) BETWEEN 1 AND 49, false) AS starts FROM near WHERE tag = '{passages.DRAWINGS}' OR text <> ''),
+numbered AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM opened),
+paragraph AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS number, paragraph FROM (SELECT doc_id, g, string_agg(text, ' ' ORDER BY i) AS paragraph FROM numbered GROUP BY doc_id, g))"""
+
 
-    rows = docs(spark, d).select("doc_id", sizes("text").alias("s"))
-    return rows.select("doc_id", F.size("s").alias("n_sentences"), F.array_min("s").alias("shortest"))
+def _lines_as_nodes(spark, d):
+    tag = lambda i: F.when(i % 7 == 0, passages.HEADING).when(i % 7 == 4, passages.DRAWINGS).otherwise(passages.PARAGRAPH)
+    nodes = F.transform(F.split("text", "\n"), lambda x, i: F.struct(tag(i).alias("tag"), X.trimmed(x).alias("text")))
+    return docs(spark, d).select("doc_id", nodes.alias("nodes"))
+
+
+@query("q_line_paragraphs", f"WITH {_PARAGRAPHS} SELECT doc_id, number, len(paragraph) AS n_chars, md5(paragraph) AS digest FROM paragraph")
+def q_line_paragraphs(spark, d):
+    """T3, T4 over the lines of documents."""
+    rows = _lines_as_nodes(spark, d).select("doc_id", F.posexplode(passages.paragraphs(F.col("nodes"))).alias("number", "p"))
+    return rows.select("doc_id", F.col("number").cast("long").alias("number"), F.length("p").cast("long").alias("n_chars"), F.md5(F.col("p").cast("binary")).alias("digest"))
+
+
+@query(
+    "q_adjusted_lines",
+    f"""WITH {_PARAGRAPHS}, source AS (SELECT doc_id * 1000000 + number AS k, paragraph AS text FROM paragraph), {sentences_sql('source')},
+counted AS (SELECT doc_id, number, paragraph, count(s) = 1 AS single FROM paragraph LEFT JOIN sentence ON k = doc_id * 1000000 + number GROUP BY ALL),
+around AS (SELECT *, coalesce(lag(single) OVER w, false) AS single1, coalesce(lag(single, 2) OVER w, false) AS single2, coalesce(lead(single) OVER w, false) AS next,
+  coalesce(lag(paragraph) OVER w, '') = '' AS none1, coalesce(lag(paragraph, 2) OVER w, '') = '' AS none2 FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY number)),
+glue AS (SELECT *, (single AND single1) OR (single AND NOT single1 AND NOT next AND NOT none1) OR (single1 AND NOT single2 AND NOT single AND none2 AND paragraph <> '') AS joins FROM around),
+homes AS (SELECT *, sum((NOT joins)::INT) OVER (PARTITION BY doc_id ORDER BY number) AS g FROM glue),
+whole AS (SELECT doc_id, g, list_reduce(list(paragraph ORDER BY number), lambda a, b: trim(a, '.') || '. ' || b) AS p FROM homes GROUP BY doc_id, g)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS number, len(p) AS n_chars, md5(p) AS digest FROM whole""",
+)
+def q_adjusted_lines(spark, d):
+    """T6, T7 over the lines of documents."""
+    rows = _lines_as_nodes(spark, d).select("doc_id", passages.paragraphs(F.col("nodes")).alias("p"))
+    rows = rows.select("doc_id", F.posexplode(passages.joined_singles(F.col("p"))).alias("number", "p"))
+    return rows.select("doc_id", F.col("number").cast("long").alias("number"), F.length("p").cast("long").alias("n_chars"), F.md5(F.col("p").cast("binary")).alias("digest"))
 
 
 # ---- postings and weights
