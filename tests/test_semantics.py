@@ -118,7 +118,7 @@ def test_top_n_with_ties(spark):
 def test_weights_guard_their_logarithms(spark):
     docs = spark.createDataFrame([(i, "alpha beta" if i else "alpha gamma") for i in range(8)], "doc_id long, text string")
     splits = docs.select("doc_id", F.when(F.col("doc_id") < 2, "training").otherwise("test").alias("split"))
-    rows = P.weights(P.postings(docs), docs, splits).collect()
+    rows = P.weights(P.postings(docs), P.sized(docs, splits)).collect()
     assert all(r["tf_idf"] == 0.0 and r["bm25"] == 0.0 for r in rows if r["term"] == "alpha" and r["split"] == "test")
 
 

@@ -7,6 +7,7 @@ NUMBER, CURRENCY, CHEMICAL = "num_indic", "curr_indic", "chem_indic"
 STRIP = "\"#%&'();:*+-/<=>@[\\]^_`{|}~‘’“”"
 PUNCTUATION = string.punctuation
 SPACE = "[ \\t-\\r]+"
+MARKS, NUMBER_STARTS = ".,!?;:", "+-.,0123456789ni"
 PEEL = "^(?s:([.,!?;:]*)(.+?)([.,!?;:]?))$"
 NUMERIC = "^[+-]?(nan|inf|infinity|([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?)$"
 IPC = "([A-H][0-9]{2}[A-Z][0-9]{2,4})"

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from . import constants as K
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """pieces between runs of ASCII white space."""
     return F.filter(F.split(text, K.SPACE), lambda x: x != "")
@@ -21,8 +26,9 @@ def strip(token: Column, characters: str = K.STRIP) -> Column:
 
 
 def is_number(token: Column) -> Column:
-    """what a float parser takes once commas are out."""
-    return F.replace(token, F.lit(","), F.lit("")).rlike(K.NUMERIC)
+    """what a float parser takes once commas are out.  Few tokens begin as numbers do; only those are matched."""
+    may = F.contains(F.lit(K.NUMBER_STARTS), F.substring(token, 1, 1))
+    return F.when(may, F.replace(token, F.lit(","), F.lit("")).rlike(K.NUMERIC)).otherwise(False)
 
 
 def is_currency(token: Column) -> Column:
@@ -41,7 +47,7 @@ def is_chemical(token: Column) -> Column:
 
 def is_chemical_name(token: Column) -> Column:
     """F6."""
-    return ((hyphens(token) > 2) & (F.length(token) >= 25)) | (F.length(token) >= 40)
+    return (F.length(token) >= 25) & ((F.length(token) >= 40) | (hyphens(token) > 2))
 
 
 def indicator(token: Column) -> Column:
@@ -51,15 +57,24 @@ def indicator(token: Column) -> Column:
 
 def peel(token: Column) -> Column:
     """leading marks, the middle, a trailing mark; the mark stays on an abbreviation."""
-    part = [strip(F.regexp_extract(token, K.PEEL, i)) for i in (1, 2, 3)]
-    glued = part[1].isin(K.ABBREVIATIONS)
-    return F.array(part[0], F.when(glued, F.concat(part[1], part[2])).otherwise(part[1]), F.when(glued, "").otherwise(part[2]))
+
+    def cut(part: Column) -> Column:
+        glued = part["b"].isin(K.ABBREVIATIONS)
+        return F.when(glued, F.array(part["a"], F.concat(part["b"], part["c"]), F.lit(""))).otherwise(F.array(part["a"], part["b"], part["c"]))
+
+    return let(F.struct(*[strip(F.regexp_extract(token, K.PEEL, i)).alias(name) for i, name in ((1, "a"), (2, "b"), (3, "c"))]), cut)
+
+
+def marked(token: Column) -> Column:
+    """Whether a token begins or ends with a mark; others are their own middle."""
+    mark = lambda at: F.contains(F.lit(K.MARKS), F.substring(token, at, 1))
+    return mark(1) | mark(-1)
 
 
 def word_tokens(text: Column) -> Column:
     """Lower-cased, stripped tokens with indicators and marks of their own."""
-    stripped = F.filter(F.transform(words(text), lambda x: strip(F.lower(x))), lambda x: x != "")
-    pieces = F.transform(stripped, lambda x: F.when(indicator(x).isNotNull(), F.array(indicator(x))).otherwise(peel(x)))
+    stripped = F.filter(F.transform(words(F.lower(text)), lambda x: strip(x)), lambda x: x != "")
+    pieces = F.transform(stripped, lambda x: let(indicator(x), lambda i: F.when(i.isNotNull(), F.array(i)).when(marked(x), peel(x)).otherwise(F.array(x))))
     return F.filter(F.flatten(pieces), lambda x: x != "")
 
 
@@ -67,17 +82,21 @@ def simple_tokens(text: Column, stopwords: list[str] | None = None) -> Column:
     """lower-cased tokens without outer punctuation, stop-words out."""
     stops = K.STOPWORDS if stopwords is None else stopwords
     stripped = F.transform(words(F.lower(text)), lambda x: F.btrim(x, F.lit(K.PUNCTUATION)))
-    return F.filter(stripped, lambda x: (F.length(x) >= 1) & ~x.isin(stops))
+    return F.filter(stripped, lambda x: (x != "") & ~x.isin(stops))
 
 
 def bigrams(tokens: Column) -> Column:
     """neighbours among the tokens that are left, so that they bridge what was dropped."""
-    pairs = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.slice(pairs, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
+
+    def paired(t: Column) -> Column:
+        most = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.zip_with(F.slice(t, 1, most), F.slice(t, 2, most), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    return let(tokens, paired)
 
 
 def terms(tokens: Column) -> Column:
-    return F.concat(tokens, bigrams(tokens))
+    return let(tokens, lambda t: F.concat(t, bigrams(t)))
 
 
 def is_table_row(sentence: Column) -> Column:
@@ -85,11 +104,6 @@ def is_table_row(sentence: Column) -> Column:
     return (F.length(sentence) < K.MAX_TABLE_ROW) & (F.length(sentence) - F.length(F.replace(sentence, F.lit("."), F.lit(""))) > 2)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once, however often it is named there."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def trimmed(text: Column) -> Column:
     """Without white space of any sort at both ends."""
     return F.btrim(text, F.lit(K.WHITE))

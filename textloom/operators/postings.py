@@ -9,17 +9,33 @@ from ..functions import text as X
 
 SCHEMES = ("tf", "sublinear_tf", "tf_idf", "sublinear_tf_idf", "bm25")
 K1, B = 1.5, 0.75
+#: Terms that may be broadcast to filter tokens before they are counted.
+BROADCAST_TERMS = 100_000
 
 
-def postings(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """(term, doc_id, tf); one explode, partial counts before the shuffle."""
+def grown(rows: DataFrame) -> DataFrame:
+    """Rows made by an explode: to be joined by shuffles, for Spark takes them to be as few as what they were made of
+    and would send them to every task."""
+    return rows.hint("merge")
+
+
+def postings(docs: DataFrame, tokens: Column | None = None, only: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(term, doc_id, tf); one explode, partial counts before the shuffle.  `only`: terms (term) to keep, which
+    are sorted out before the shuffle if they are few enough to be sent to every task.  `carry`: columns of the document
+    that its postings keep, so that they need not be joined later."""
     made = X.terms(X.simple_tokens(F.col("text")) if tokens is None else tokens)
-    return docs.select("doc_id", F.explode(made).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    each = docs.select("doc_id", *carry, F.explode(made).alias("term"))
+    if only is not None:
+        few = len(only.take(BROADCAST_TERMS + 1)) <= BROADCAST_TERMS
+        each = each.join(F.broadcast(only) if few else only, "term", "left_semi")
+    return each.groupBy("term", "doc_id", *carry).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(rows: DataFrame, n_docs: int | None = None, more_than: int = 5) -> DataFrame:
-    """(term, df) with df > 5 and df < number of documents."""
-    found = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > more_than)
+    """(term, df) with df > 5 and df < number of documents.
+
+    The counts are named, as plans that also use them elsewhere can then share the shuffle of the postings."""
+    found = rows.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df")).where(F.col("df") > more_than)
     return found if n_docs is None else found.where(F.col("df") < n_docs)
 
 
@@ -41,8 +57,8 @@ def chi_squared(rows: DataFrame, doc_classes: DataFrame, n_docs: int, more_than:
     totals = doc_classes.groupBy("class").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") < n_docs)
     constant = totals.agg(F.sum(F.pow("c", F.lit(2)) / (n_docs - F.col("c"))).alias("k"))
     frequent = document_frequencies(rows, n_docs, more_than)
-    seen = rows.join(frequent, "term").join(doc_classes, "doc_id").groupBy("term", "df", "class").agg(F.count(F.lit(1)).alias("a"))
-    seen = seen.join(F.broadcast(totals), "class")  # one row for each class of the scheme
+    seen = grown(grown(rows.where("tf > 0")).join(frequent, "term")).join(doc_classes, "doc_id").groupBy("term", "df", "class").agg(F.count(F.lit(1)).alias("a"))
+    seen = seen.join(totals, "class")
     t, c, a, n = F.col("df"), F.col("c"), F.col("a"), F.lit(float(n_docs))
     own = F.pow(a * n - t * c, F.lit(2)) / (t * (n - t) * (n - c)) - t / (n - t) * F.pow(c, F.lit(2)) / (n - c)
     corrected = seen.groupBy("term", "df").agg(F.sum(own).alias("own")).join(F.broadcast(constant))
@@ -53,8 +69,8 @@ def chi_squared_dense(rows: DataFrame, doc_classes: DataFrame, n_docs: int, more
     """W6 as it is defined, over every pair of term and class; for comparison."""
     totals = doc_classes.groupBy("class").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") < n_docs)
     frequent = document_frequencies(rows, n_docs, more_than)
-    seen = rows.join(frequent, "term", "left_semi").join(doc_classes, "doc_id").groupBy("term", "class").agg(F.count(F.lit(1)).alias("a"))
-    every = frequent.join(F.broadcast(totals)).join(seen, ["term", "class"], "left").fillna(0, ["a"])
+    seen = grown(grown(rows).join(frequent, "term", "left_semi")).join(doc_classes, "doc_id").groupBy("term", "class").agg(F.count(F.lit(1)).alias("a"))
+    every = frequent.crossJoin(totals).join(seen, ["term", "class"], "left").fillna(0, ["a"])
     t, c, a, n = F.col("df"), F.col("c"), F.col("a"), F.lit(float(n_docs))
     b, c_not, d = t - a, c - a, n - t - c + a
     value = c / n * n * F.pow(a * d - b * c_not, F.lit(2)) / (t * (n - t) * c * (n - c))
@@ -67,18 +83,32 @@ def top_terms(chi: DataFrame, k: int = 10_000) -> DataFrame:
     return best.withColumn("term_id", F.row_number().over(Window.orderBy(F.desc(F.round("chi", 6)), "term")) - 1)
 
 
-def weights(rows: DataFrame, docs: DataFrame, splits: DataFrame | None = None, *, exact: bool = False, n_docs: int | None = None) -> DataFrame:
-    """(doc_id, term, split, tf, and the four other schemes).
+def sized(docs: DataFrame, splits: DataFrame | None = None) -> DataFrame:
+    """`docs` with len and split; without `splits` all are for training, with them documents of none have a null."""
+    own = docs.withColumn("len", F.length("text").cast("long"))
+    return own.withColumn("split", F.lit("training")) if splits is None else own.join(splits.select("doc_id", "split"), "doc_id", "left")
+
+
+def weights(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, term, split, tf, and the four other schemes) of postings; `docs` are sized (len, split).
+
+    df counts inside the split, N counts training documents; the idf floors its ratio; where N < df the idf is 0.
+    Postings that carry len and split are not joined with their documents again."""
+    return _weighed(rows, docs, exact=False)
+
+
+def exact_weights(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """As `weights`, but the idf divides exactly."""
+    return _weighed(rows, docs, exact=True)
+
 
-    df counts inside the split, N counts training documents; the idf floors its ratio unless `exact`; where N < df
-    the idf is 0."""
-    sized = lengths(docs)
-    average = average_length(docs).select("avg_len")
-    own = splits.select("doc_id", "split") if splits is not None else docs.select("doc_id", F.lit("training").alias("split"))
-    training = own.where("split = 'training'").agg(F.count(F.lit(1)).alias("n"))
-    per_split = rows.join(own, "doc_id")
-    df = per_split.groupBy("split", "term").agg(F.count(F.lit(1)).alias("df"))
-    joined = per_split.join(df, ["split", "term"]).join(sized, "doc_id").join(F.broadcast(average)).join(F.broadcast(training))  # one row each
+def _weighed(rows: DataFrame, docs: DataFrame, exact: bool) -> DataFrame:
+    training = F.count(F.when(F.col("split") == "training", 1))
+    totals = docs.agg(training.alias("n"), F.expr("sum(len) div count(*)").alias("avg_len"))
+    carried = {"len", "split"} <= set(rows.columns)
+    per_split = (rows if carried else grown(rows).join(docs.select("doc_id", "len", "split"), "doc_id")).where("split is not null")
+    df = per_split.groupBy("split", "term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
+    joined = grown(per_split).join(df, ["split", "term"]).join(F.broadcast(totals))  # one row
     tf, n, d = F.col("tf"), F.col("n"), F.col("df")
     ratio = (n + 1) / (d + 1) if exact else F.floor((n + 1) / (d + 1))
     idf = F.when(ratio > 0, F.log10(F.when(ratio > 0, ratio))).otherwise(0.0)
@@ -99,11 +129,12 @@ def doc_index(weighed: DataFrame, scheme: str = "tf") -> DataFrame:
     return weighed.groupBy("doc_id").agg(F.map_from_entries(pairs).alias("terms"))
 
 
-def search(rows: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """BM25 ranking of documents for each query (item_id, text): the k best."""
+def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """BM25 ranking of documents for each query (item_id, text): (item_id, doc_id, score, rank) of the k best, ties by
+    doc_id.  Only postings of words that are asked for are made.  Scores are sums of decimals, the same in any order."""
     asked = queries.select("item_id", F.explode(F.array_distinct(X.simple_tokens(F.col("text")))).alias("term"))
-    wanted = rows.join(asked.select("term").distinct(), "term", "left_semi")
-    weighed = weights(wanted, docs).select("doc_id", "term", "bm25")
-    scored = weighed.join(asked, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("bm25"), 6).alias("score"))
+    own = sized(docs)
+    weighed = weights(postings(own, only=asked.select("term").distinct(), carry=("len", "split")), own).select("doc_id", "term", F.col("bm25").cast("decimal(24,12)").alias("bm25"))
+    scored = grown(weighed).join(asked, "term").groupBy("item_id", "doc_id").agg(F.sum("bm25").cast("decimal(20,6)").alias("score"))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.col("score").cast("double"))

@@ -29,8 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table that is cut into fewer tasks than there are cores, dealt out to all of them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def docs(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+    return spread(table(spark, d, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
 
 
 def quoted(items) -> str:
@@ -266,7 +272,8 @@ def _splits(own: DataFrame) -> DataFrame:
 
 def _weighed(spark, d):
     own = docs(spark, d)
-    return P.weights(P.postings(own), own, _splits(own))
+    own = P.sized(own, _splits(own))
+    return P.weights(P.postings(own, carry=("len", "split")), own)
 
 
 @query("q_postings_by_split", f"WITH {_TERMS}, {_SPLITS} SELECT split, term, count(*) AS df, sum(tf)::BIGINT AS tf FROM postings JOIN splits USING (doc_id) GROUP BY ALL")
@@ -304,14 +311,13 @@ def q_doc_index(spark, d):
     "q_search_bm25",
     f"""WITH {_TERMS}, asked AS (SELECT DISTINCT item_id, unnest(list_filter(list_transform({_WORDS.format('lower(text)')}, lambda x: trim(x, '{_PUNCT}')), lambda x: x <> '' AND NOT list_contains({quoted(K.STOPWORDS)}, x))) AS term FROM benchmark),
 dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term), n AS (SELECT count(*) AS n, sum(len(text)) // count(*) AS al FROM documents),
-scored AS (SELECT item_id, doc_id, round(sum(log10(greatest(1, (n - df + 0.5) / (df + 0.5))) * (2.5 * tf / (1.5 * (0.25 + 0.75 * len(d.text) / al) + tf))), 6) AS score FROM asked JOIN postings USING (term) JOIN dfs USING (term) JOIN documents d USING (doc_id), n GROUP BY ALL)
-SELECT item_id, doc_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10""",
+scored AS (SELECT item_id, doc_id, CAST(sum(CAST(log10(greatest(1, (n - df + 0.5) / (df + 0.5))) * (2.5 * tf / (1.5 * (0.25 + 0.75 * len(d.text) / al) + tf)) AS DECIMAL(24, 12))) AS DECIMAL(20, 6)) AS score FROM asked JOIN postings USING (term) JOIN dfs USING (term) JOIN documents d USING (doc_id), n GROUP BY ALL)
+SELECT item_id, doc_id, score::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10""",
 )
 def q_search_bm25(spark, d):
     """W17 as a search: the ten best documents for each benchmark item."""
-    own = docs(spark, d)
-    found = P.search(P.postings(own), own, table(spark, d, "benchmark"))
-    return found.select("item_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    found = P.search(docs(spark, d), table(spark, d, "benchmark"))
+    return found.select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 # ---- labels: document = order; section, class and subclass from the part
