@@ -1,11 +1,12 @@
 """License scans by a positional index over rare template words.
 
-Templates are short passages of public licences with mandatory key phrases, and the bare phrases of `PHRASES`.  The
-words of all templates are weighed by inverse document frequency over the whole table.  Of each template only rare
-words are indexed, with their positions.  All indexed words of a file are looked up; each posting votes for the place
-where the template would have to start, so that postings are intersected by relative position; the places that gather
-the weight without which COVERAGE is out of reach are compared word by word, and a label is given only if the
-template's key phrases stand there word for word.  What a template gets does not depend on what else a file holds.
+Templates are passages of public licences with mandatory key phrases (`licence_texts`, or the caller's own), and the
+bare phrases of `PHRASES`.  The words of all templates are weighed by inverse document frequency over the whole table.
+Of each template only rare words are indexed, with their positions.  All indexed words of a file are looked up; each
+posting votes for the strip of places where the template would have to start, so that postings are intersected by
+relative position, give or take some words put in or left out.  Strips that gather the weight without which COVERAGE is
+out of reach are compared word by word, in order, and a label is given only if the template's key phrases stand there
+word for word.  What a template gets does not depend on what else a file holds.
 """
 
 from __future__ import annotations
@@ -15,74 +16,33 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table, utf8
+from .licence_texts import LICENCES
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: Bare phrases: each place where the words stand consecutively counts.  Fixed values.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-#: label -> (passage, key phrases that must stand in it)
-TEMPLATES = {
-    "apache-2.0": (
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
-        ["apache license version 2 0"],
-    ),
-    "mit": (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-        ["permission is hereby granted free of charge"],
-    ),
-    "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        ["redistribution and use in source and binary forms"],
-    ),
-    "mpl-2.0": (
-        "this source code form is subject to the terms of the mozilla public license v 2 0",
-        ["mozilla public license"],
-    ),
-    "isc": (
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-        ["with or without fee is hereby granted"],
-    ),
-    "unlicense": (
-        "this is free and unencumbered software released into the public domain",
-        ["free and unencumbered software"],
-    ),
-    "cc0-1.0": (
-        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
-        ["waived all copyright and related"],
-    ),
-    "lgpl": (
-        "it under the terms of the gnu lesser general public license as published by the free software foundation",
-        ["lesser general public license"],
-    ),
-    "agpl": (
-        "it under the terms of the gnu affero general public license as published by the free software foundation",
-        ["affero general public license"],
-    ),
-    "gpl-notice": (
-        "it under the terms of the gnu general public license as published by the free software foundation",
-        ["gnu general public license"],
-    ),
-    "cc-by-sa": ("licensed under a creative commons attribution sharealike license", ["attribution sharealike"]),
-    "cc-by-nc": ("licensed under a creative commons attribution noncommercial license", ["attribution noncommercial"]),
-    "cc-license": ("licensed under a creative commons attribution license", ["creative commons attribution"]),
-}
-
-#: Of a template, so many of its rarest words are indexed, or more until they outweigh what may be missing.
+#: Of a passage, so many of its rarest words are indexed, or more until they outweigh what may be missing.
 INDEXED_WORDS = 6
-#: Share of a template's IDF weight that must stand in place.
+#: Share of a passage's IDF weight that must stand in its order.
 COVERAGE = 0.8
+#: Words by which relative positions of one place may differ: words put in or left out in its midst.
+DRIFT = 16
+
+Template = tuple[str, str, list[str]]
 
 
 class LicenseIndex:
-    """Postings of the rare words of all templates."""
+    """Postings of the rare words of all passages."""
 
-    def __init__(self, idf: dict[bytes, float]):
+    def __init__(self, idf: dict[bytes, float], templates: list[Template] = LICENCES):
         self.idf = idf
         self.phrases = [(label, text.encode().split()) for label, text in PHRASES.items()]
         #: word -> phrases of which it is the rarest word, with its place there
@@ -91,9 +51,10 @@ class LicenseIndex:
             at = max(range(len(words)), key=lambda i: (idf[words[i]], -i))
             self.phrase_anchor[words[at]].append((p, at))
         self.templates, self.postings = [], defaultdict(list)
-        for t, (label, (text, keys)) in enumerate(TEMPLATES.items()):
-            words = text.encode().split()
-            whole, rare = sum(idf[w] for w in words), set()
+        for t, (label, text, keys) in enumerate(templates):
+            words = words_of(text.encode())
+            weights = np.array([idf[w] for w in words])
+            whole, rare = float(weights.sum()), set()
             may_miss = (1 - COVERAGE) * whole
             for w in sorted(set(words), key=lambda w: (-idf[w], w)):
                 if len(rare) >= INDEXED_WORDS and sum(idf[w] for w in words if w in rare) >= 2 * may_miss:
@@ -104,11 +65,11 @@ class LicenseIndex:
                     self.postings[w].append((t, i))
             # a place that reaches COVERAGE has at least this weight of indexed words
             least = sum(idf[w] for w in words if w in rare) - may_miss - 1e-9
-            self.templates.append((label, words, [k.encode().split() for k in keys], whole, least))
+            self.templates.append((label, words, weights, [words_of(k.encode()) for k in keys], whole, least))
         self.looked_up = frozenset(self.phrase_anchor) | frozenset(self.postings)
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
-        """Places of the bare phrases as (start, label), and coverage of each template label found."""
+        """Places of the bare phrases as (start, label), and the best coverage of each label found."""
         present = self.looked_up.intersection(words)
         if not present:
             return [], {}
@@ -121,40 +82,56 @@ class LicenseIndex:
             for p, at in self.phrase_anchor[w]:
                 label, phrase = self.phrases[p]
                 base += [(i - at, label) for i in places[w] if i >= at and words[i - at : i - at + len(phrase)] == phrase]
-        found: dict[str, float] = {}
+        # relative positions are counted in strips of DRIFT; those of one place lie in a strip and the next
         votes: dict[tuple[int, int], float] = defaultdict(float)
         for w in sorted(present & self.postings.keys()):
             for t, at in self.postings[w]:
-                for i in places[w]:
-                    votes[t, i - at] += self.idf[w]
-        for (t, start), weight in votes.items():
-            label, template, keys, whole, least = self.templates[t]
-            if weight < least or found.get(label) == 1.0:
+                for strip in {s for i in places[w] for s in ((i - at) // DRIFT, (i - at) // DRIFT - 1)}:
+                    votes[t, strip] += self.idf[w]
+        found: dict[str, float] = {}
+        for (t, strip), weight in sorted(votes.items()):
+            label, template, weights, keys, whole, least = self.templates[t]
+            if weight < least or found.get(label, 0.0) >= 1.0:
                 continue
-            # the words in place, and each key phrase word for word somewhere in the passage
-            stands = [0 <= start + j < len(words) and words[start + j] == w for j, w in enumerate(template)]
-            covered = min(1.0, sum(self.idf[w] for w, here in zip(template, stands, strict=True) if here) / whole)
-            low = max(0, start)
-            passage = words[low : max(low, start + len(template))]
-            if covered >= COVERAGE and all(any(passage[j : j + len(k)] == k for j in range(len(passage) - len(k) + 1)) for k in keys):
+            low = max(0, strip * DRIFT)
+            passage = words[low : max(low, (strip + 2) * DRIFT + len(template))]
+            covered = min(1.0, in_order(template, weights, passage) / whole)
+            if covered >= COVERAGE and all(stands(k, passage) for k in keys):
                 found[label] = max(found.get(label, 0.0), covered)
         return base, found
 
 
-def template_words() -> list[bytes]:
-    texts = [*PHRASES.values(), *(text for text, _ in TEMPLATES.values())]
-    return sorted({w for text in texts for w in text.encode().split()})
+def stands(phrase: list[bytes], words: list[bytes]) -> bool:
+    return any(words[j : j + len(phrase)] == phrase for j in range(len(words) - len(phrase) + 1))
+
+
+def in_order(template: list[bytes], weights: np.ndarray, passage: list[bytes]) -> float:
+    """The largest weight of template words that stand in the passage in their order."""
+    if template == passage[: len(template)]:
+        return float(weights.sum())
+    numbers = {w: n for n, w in enumerate(dict.fromkeys(template))}
+    there = np.array([numbers.get(w, -1) for w in passage])
+    best = np.zeros(len(passage) + 1)
+    for w, weight in zip(template, weights, strict=True):
+        taken = np.where(there == numbers[w], best[:-1] + weight, 0.0)
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], taken))
+    return float(best[-1])
+
+
+def template_words(templates: list[Template] = LICENCES) -> list[bytes]:
+    texts = [*PHRASES.values(), *(x for _, text, keys in templates for x in (text, *keys))]
+    return sorted({w for text in texts for w in words_of(text.encode())})
 
 
 def words_of(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())  # bytes.lower() changes A-Z only
 
 
-def inverse_document_frequencies(docs: DataFrame) -> dict[bytes, float]:
+def inverse_document_frequencies(docs: DataFrame, templates: list[Template] = LICENCES) -> dict[bytes, float]:
     """ln((N + 1) / (df + 1)) + 1 of each word of the templates, over all rows of `docs`.
 
     The result has a row for each of the templates' words, some hundred, however many documents there are."""
-    vocabulary = frozenset(template_words())
+    vocabulary = frozenset(template_words(templates))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = Counter(), 0
@@ -178,17 +155,17 @@ def _text() -> Column:
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
+def license_scan(docs: DataFrame, templates: list[Template] = LICENCES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each row of `docs`.
 
     n_base counts the places of the bare phrases, first_word and last_word are the smallest and largest of their
     starts (null without any).  base_labels names the phrases, labels the templates too.  score is 1 if a bare phrase
     stands in the text, else the best coverage of a verified template, else 0.  A null or empty text has no words and
     no labels; a null doc_id stays null; repeated rows are scanned each; other columns are ignored."""
-    idf = inverse_document_frequencies(docs)  # bounded by the templates
+    idf = inverse_document_frequencies(docs, templates)  # bounded by the templates
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = LicenseIndex(idf)
+        index = LicenseIndex(idf, templates)
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
                 rows = []
