@@ -91,15 +91,15 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _by_width(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, vectors) for each length of vector that occurs, some hundred rows at a time."""
+def _by_width(batch: pa.RecordBatch, column: str, most: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors) for each length of vector that occurs, `most` rows at a time."""
     lists = batch.column(column)
     sizes = np.asarray(pa.compute.list_value_length(lists))
     values, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
     for width in np.unique(sizes):
         rows = np.flatnonzero(sizes == width)
-        for at in range(0, len(rows), 512):
-            some = rows[at : at + 512]
+        for at in range(0, len(rows), most):
+            some = rows[at : at + most]
             yield some, values[offsets[some][:, None] + np.arange(width)]
 
 
@@ -133,18 +133,39 @@ def _filters(words: int):
     return run
 
 
+#: Members up to which all filters of a batch are looked through together; larger ones are multiplied one at a time.
+FEW = 64
+
+
+def _linked_groups(unit: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosine: float) -> np.ndarray:
+    """Which of the groups (rows starts..starts+sizes-1 of `unit`) hold a pair of vectors that link."""
+    has = np.zeros(len(starts), bool)
+    group = np.repeat(np.arange(len(starts)), sizes)
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(unit))  # rows of its group from a row on
+    rows = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+    for apart in range(1, FEW):
+        rows = rows[(left[rows] > apart) & ~has[group[rows]]]
+        if not len(rows):
+            break
+        close = np.einsum("ij,ij->i", unit[rows], unit[rows + apart]) >= cosine
+        has[group[rows[close]]] = True
+    for g in np.flatnonzero(sizes > FEW):
+        some = unit[starts[g] : starts[g] + sizes[g]]
+        close = some @ some.T >= cosine
+        np.fill_diagonal(close, False)
+        has[g] = close.any()
+    return has
+
+
 def _verify(cosine: float, words: int):
     """Rows come sorted by (filter, b1, b2): the members of a filter, or of two blocks of it."""
 
     decoded = _Decoded()
 
-    def compare(rows: list[tuple]) -> tuple | None:
-        number, b1, b2 = rows[0][:3]
-        reps, hashes, copies, blocks = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5, 7))
-        unit = unit_rows(np.array([r[6] for r in rows]))
+    def compare(number: int, crossed: bool, reps: np.ndarray, hashes: np.ndarray, copies: np.ndarray, blocks: np.ndarray, unit: np.ndarray) -> tuple | None:
         linked = unit @ unit.T >= cosine
         np.fill_diagonal(linked, False)
-        if b1 != b2:
+        if crossed:
             linked &= blocks[:, None] != blocks[None, :]
         member = np.flatnonzero(linked.any(axis=1))
         if not len(member):
@@ -164,8 +185,7 @@ def _verify(cosine: float, words: int):
             table_ = np.zeros((len(member), len(keep[at : at + 2000])), np.float32)
             table_[owners[here], number_of[column[here]]] = 1
             shared |= table_ @ table_.T > 0
-        weights = copies[member]
-        links = (linked & ~shared) @ weights
+        links = (linked & ~shared) @ copies[member]
         # smallest id within reach inside these members
         least = reps[member].copy()
         for _ in range(len(least)):
@@ -176,24 +196,40 @@ def _verify(cosine: float, words: int):
             least = lower
         return reps[member], hashes[member], links, least
 
-    def out(done: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[i] for d in done])) for i in range(4)], ["rep", "vh", "links", "least"])
+    def compared(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of whole groups."""
+        number, b1, b2, reps, hashes, copies, blocks = (np.asarray(rows.column(c)) for c in ("filter", "b1", "b2", "rep", "vh", "copies", "block"))
+        fresh = np.ones(len(number), bool)
+        fresh[1:] = (number[1:] != number[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])
+        done = []
+        for some, vectors in _by_width(rows, "vec", most=len(number)):  # whole groups, as filters tell the width
+            unit = unit_rows(vectors)
+            starts = np.flatnonzero(fresh[some])
+            sizes = np.diff(np.append(starts, len(some)))
+            for g in np.flatnonzero(_linked_groups(unit, starts, sizes, cosine)):
+                own = slice(starts[g], starts[g] + sizes[g])
+                at = some[own]
+                if (found := compare(int(number[at[0]]), b1[at[0]] != b2[at[0]], reps[at], hashes[at], copies[at], blocks[at], unit[own])) is not None:
+                    done.append(found)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[i] for d in done])) for i in range(4)], ["rep", "vh", "links", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-        done: list[tuple] = []
+        waiting: list[pa.RecordBatch] = []  # of the last group so far, at most two blocks and a batch
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if waiting and row[:3] != waiting[0][:3]:
-                    if (found := compare(waiting)) is not None:
-                        done.append(found)
-                    waiting = []
-                waiting.append(row)
-            if done:
-                yield out(done)
-                done = []
-        if waiting and (found := compare(waiting)) is not None:
-            yield out([found])
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*waiting, batch]).combine_chunks().to_batches()[0]
+            last = rows.num_rows - 1
+            same = np.ones(rows.num_rows, bool)
+            for c in ("filter", "b1", "b2"):
+                values = np.asarray(rows.column(c))
+                same &= values == values[last]
+            begin = rows.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            yield from compared(rows.slice(0, begin)) if begin else ()
+            waiting = [rows.slice(begin)]
+        for rows in waiting:
+            yield from compared(rows)
 
     return run
 
@@ -242,8 +278,10 @@ def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-pairs AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {COSINE}),
+WITH RECURSIVE v AS (SELECT vec_id, e, len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 AS usable
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+u AS MATERIALIZED (SELECT * FROM v WHERE usable),
+pairs AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM u a, u b WHERE a.vec_id <> b.vec_id AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= {COSINE} ELSE false END),
 reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON p.x = r.y),
 least AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
 counted AS (SELECT x AS vec_id, count(*) AS n FROM pairs GROUP BY x)
