@@ -204,15 +204,20 @@ def test_quotient_filter():
     rng = np.random.default_rng(4)
     parts = [rng.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(3)]
     parts[1][:50] = parts[0][:50]
-    merged = None
-    for p in parts:
-        one = exact_dedup.CountingQuotientFilter.from_bytes(exact_dedup.CountingQuotientFilter.build(9, p).to_bytes())
-        merged = one if merged is None else merged.merge(one)
+    merged = exact_dedup.CountingQuotientFilter.merged([exact_dedup.CountingQuotientFilter.from_bytes(exact_dedup.CountingQuotientFilter.build(9, p).to_bytes()) for p in parts])
     values, counts = np.unique(np.concatenate(parts), return_counts=True)
     got_values, got_counts = merged.items()
     assert (got_values == values).all() and (got_counts == counts).all()
 
 
+def test_fingerprints_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD", 16)
+    rows = [(x * 0x9E3779B97F4A7C15 % 2**64 - 2**63,) for x in [*range(3000), *range(0, 3000, 7), 7, 7]]
+    assert exact_dedup.shard_bits(len(rows)) > exact_dedup.FEWEST_BITS
+    found = exact_dedup.repeated_fingerprints(spark.createDataFrame(rows, "fp long").repartition(5)).collect()
+    assert sorted(r[0] for r in found) == sorted({r[0] for r in rows[3000:]})
+
+
 def test_exact_dedup(spark):
     rows = H.edge_rows()
     norm = [(i, H.SPACE.sub(" ", t or "")) for i, t, *_ in rows]

@@ -19,7 +19,9 @@ NULL_ID = -(2**63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """All rows of a table; one that is cut into fewer tasks than there are cores is dealt out to all of them."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import KeyFilter, materialize, table
 
-#: Filters are cut into this many ranges of quotients, the unit of merging.
-SHARD_BITS = 6
+#: Filters are cut into ranges of quotients, the unit of merging: so many that each gets about SHARD fingerprints.
+SHARD, FEWEST_BITS = 2**20, 5
+
+
+def shard_bits(fingerprints: int) -> int:
+    return max(FEWEST_BITS, int(np.ceil(np.log2(max(fingerprints, 1) / SHARD))))
 
 
 class CountingQuotientFilter:
@@ -50,16 +54,17 @@ class CountingQuotientFilter:
         run = np.cumsum(ends) - ends
         return (quotients[run] << self.remainder_bits) | self.remainders, self.counts
 
-    def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        """Sum of both, by merging the sorted remainders of each quotient."""
-        (a, na), (b, nb) = self.items(), other.items()
-        both = np.concatenate([a, b])
+    @classmethod
+    def merged(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+        """Sum of all: their remainders are sorted runs, which a stable sort merges in one go."""
+        each = [f.items() for f in filters]
+        both, counts = (np.concatenate([x[i] for x in each]) for i in (0, 1))
         order = np.argsort(both, kind="stable")
-        both, counts = both[order], np.concatenate([na, nb])[order]
+        both, counts = both[order], counts[order]
         first = np.ones(len(both), bool)
         first[1:] = both[1:] != both[:-1]
         at = np.flatnonzero(first)
-        return CountingQuotientFilter(self.quotient_bits, both[at], np.add.reduceat(counts, at) if len(at) else counts)
+        return cls(max(f.quotient_bits for f in filters), both[at], np.add.reduceat(counts, at) if len(at) else counts)
 
     def to_bytes(self) -> bytes:
         head = np.array([self.quotient_bits, len(self.remainders)], np.int64)
@@ -77,50 +82,56 @@ class CountingQuotientFilter:
         return new
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _build(bits: int):
     """One filter for each shard of quotients that this partition fills.  Inside a shard the shard's own bits are cut
     off, so that quotients stay dense."""
-    values = [np.asarray(b.column(0)).view(np.uint64) for b in batches]
-    values = np.concatenate(values) if values else np.zeros(0, np.uint64)
-    shard = (values >> np.uint64(64 - SHARD_BITS)).astype(np.int64)
-    for s in np.unique(shard):
-        own = values[shard == s] << np.uint64(SHARD_BITS)
-        bits = min(20, max(3, int(len(own)).bit_length()))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([int(s)], pa.int32()), "filter": pa.array([CountingQuotientFilter.build(bits, own).to_bytes()], pa.binary())})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = [np.asarray(b.column(0)).view(np.uint64) for b in batches]
+        values = np.sort(np.concatenate(values)) if values else np.zeros(0, np.uint64)
+        if not len(values):
+            return
+        shard = (values >> np.uint64(64 - bits)).astype(np.int64)
+        begin = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        for a, b in zip(begin, np.r_[begin[1:], len(shard)], strict=True):
+            own = values[a:b] << np.uint64(bits)
+            made = CountingQuotientFilter.build(min(20, max(3, int(len(own)).bit_length())), own)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([int(shard[a])], pa.int64()), "filter": pa.array([made.to_bytes()], pa.binary())})
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _repeated(bits: int):
     """Merge the filters of each shard (rows come sorted by shard) and give the fingerprints counted more than once."""
-    shard, merged = None, None
 
-    def out():
-        values, counts = merged.items()
-        values = (values >> np.uint64(SHARD_BITS)) | (np.uint64(shard) << np.uint64(64 - SHARD_BITS))
+    def out(shard: int, filters: list[CountingQuotientFilter]) -> Iterator[pa.RecordBatch]:
+        values, counts = CountingQuotientFilter.merged(filters).items()
+        values = (values >> np.uint64(bits)) | (np.uint64(shard) << np.uint64(64 - bits))
         values = values[counts > 1].view(np.int64)
         for at in range(0, len(values), 100_000):
             yield pa.RecordBatch.from_pydict({"fp": pa.array(values[at : at + 100_000])})
 
-    for batch in batches:
-        for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = CountingQuotientFilter.from_bytes(data)
-            if s != shard:
-                if merged is not None:
-                    yield from out()
-                shard, merged = s, got
-            else:
-                values, counts = got.items()
-                got = CountingQuotientFilter(merged.quotient_bits, values, counts)
-                merged = merged.merge(got)
-                if len(merged.remainders) > 2**merged.quotient_bits and merged.quotient_bits < 22:
-                    merged = CountingQuotientFilter(merged.quotient_bits + 2, *merged.items())
-    if merged is not None:
-        yield from out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, filters = None, []
+        for batch in batches:
+            for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if s != shard and filters:
+                    yield from out(shard, filters)
+                    filters = []
+                shard = s
+                filters.append(CountingQuotientFilter.from_bytes(data))
+        if filters:
+            yield from out(shard, filters)
+
+    return run
 
 
 def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
-    """(fp) of those values of the only column of `fingerprints` that occur more than once."""
-    filters = fingerprints.mapInArrow(_build, "shard int, filter binary")
-    return filters.repartition("shard").sortWithinPartitions("shard").mapInArrow(_repeated, "fp long")
+    """(fp) of those values of the only column of `fingerprints` that occur more than once.  A shard holds different
+    fingerprints and their counts: copies, however many, are one entry of each partition's filter."""
+    bits = shard_bits(fingerprints.count())
+    filters = fingerprints.mapInArrow(_build(bits), "shard long, filter binary")
+    return filters.repartition("shard").sortWithinPartitions("shard").mapInArrow(_repeated(bits), "fp long")
 
 
 def normalised() -> Column:

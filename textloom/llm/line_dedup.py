@@ -82,31 +82,35 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
     """The rows of `docs` (doc_id, text, ...) with their text as it stays, its n_chars, and n_lines, n_removed.
 
     Every row stays, if need be with an empty text.  A null text stays null and has no lines; an empty text is one
     empty line; texts of fewer than three lines have no windows.  A null doc_id counts as smaller than any other.
     Rows that share a doc_id are no earlier or later than each other.  n_chars is set anew where the table has it;
-    columns called n_lines or n_removed are replaced; all others pass through.  An empty table gives an empty one."""
+    columns called n_lines or n_removed are replaced, or pass through with `counts` off, when none are added; all others
+    pass through.  An empty table gives an empty one."""
     later = later_rows(keyed_texts(docs).mapInArrow(_windows, "id long, th long, at int, k1 long, k2 long"), ["k1", "k2"])
     covered = later.groupBy("id", "th").agg(F.collect_set("at").alias("ats"))  # bounded by the document's lines
-    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    kept = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_removed")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rest = F.struct(*[F.col(f"`{c}`") for c in kept if c.lower() != "text"], F.col("text").isNull().alias("__no_text"))
+    others = F.struct(*[F.col(f"`{c}`") for c in kept if c.lower() != "text"])
+    rest = F.struct(others.alias("others"), F.col("text").isNull().alias("no_text"))
     rows = docs.select(row_id().alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), rest.alias("row"))
     rows = rows.join(covered, ["id", "th"], "left").select("row", "text", "ats")
     schema = T.StructType([rows.schema["row"]]).add("kept_text", "string").add("n_lines", "long").add("n_removed", "long")
     done = rows.mapInArrow(_strip, schema)
-    none = F.col("row.__no_text")
+    none = F.col("row.no_text")
     out = []
     for c in kept:
         if c.lower() == "text":
             out.append(F.when(~none, F.col("kept_text")).alias(c))
         elif c.lower() == "n_chars":
-            out.append(F.when(none, F.col(f"row.`{c}`")).otherwise(F.length("kept_text").cast(docs.schema[c].dataType)).alias(c))
+            out.append(F.when(none, F.col(f"row.others.`{c}`")).otherwise(F.length("kept_text").cast(docs.schema[c].dataType)).alias(c))
         else:
-            out.append(F.col(f"row.`{c}`").alias(c))
+            out.append(F.col(f"row.others.`{c}`").alias(c))
+    if not counts:
+        return done.select(*out)
     return done.select(*out, F.when(none, 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), "n_removed")
 
 
@@ -115,14 +119,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH lined AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-each AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM lined WHERE len(lines) > 0),
-windows AS (SELECT doc_id, pos, line, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3, lead(pos, 2) OVER w AS ending
-  FROM each WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, pos) AS nth FROM windows WHERE ending IS NOT NULL),
-covered AS (SELECT DISTINCT doc_id, pos + d AS pos FROM ranked, range(3) r(d) WHERE nth > 1),
-kept AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (c.pos IS NULL) AS text, count(*) AS n_lines, count(c.pos) AS n_removed
-  FROM each e LEFT JOIN covered c ON e.doc_id = c.doc_id AND e.pos = c.pos GROUP BY e.doc_id)
-SELECT d.doc_id, coalesce(k.text, '') AS text, d.lang, d.source, length(coalesce(k.text, '')) AS n_chars, k.n_lines, k.n_removed
-FROM documents d JOIN kept k ON d.doc_id = k.doc_id
+WITH numbered AS (SELECT *, row_number() OVER () AS row FROM documents),
+lined AS (SELECT row, doc_id, coalesce(doc_id, -9223372036854775808) AS id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM numbered),
+each AS (SELECT row, id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM lined),
+windows AS (SELECT row, id, text, pos, line, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3, lead(pos, 2) OVER w AS ending
+  FROM each WINDOW w AS (PARTITION BY row ORDER BY pos)),
+ranked AS (SELECT row, pos, min(id) OVER (PARTITION BY line, line2, line3) < id OR row_number() OVER (PARTITION BY row, line, line2, line3 ORDER BY pos) > 1 AS later FROM windows WHERE ending IS NOT NULL),
+covered AS (SELECT DISTINCT row, pos + d AS pos FROM ranked, range(3) r(d) WHERE later),
+kept AS (SELECT e.row, string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (c.pos IS NULL) AS text, count(*) AS n_lines, count(c.pos) AS n_removed
+  FROM each e LEFT JOIN covered c ON e.row = c.row AND e.pos = c.pos GROUP BY e.row)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, d.lang, d.source,
+  CASE WHEN d.text IS NULL THEN d.n_chars ELSE length(coalesce(k.text, '')) END AS n_chars, CASE WHEN d.text IS NULL THEN 0 ELSE k.n_lines END AS n_lines, k.n_removed
+FROM numbered d JOIN kept k ON d.row = k.row
 """

@@ -238,7 +238,7 @@ class Join:
         joined = self.keys.join(hubs, "key")
         # hubs of each member, the one it shares most keys with marked: copies link there, and need the others no more
         own = joined.where("c != hub").groupBy(F.col("c").alias("b"), F.col("hub").alias("a")).agg(F.count(F.lit(1)).alias("shared"))
-        best = own.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("best"))
+        best = own.groupBy("b").agg(F.max_by("a", F.struct("shared", F.bitwise_not("a"))).alias("best"))
         hubbed = materialize(own.join(best, "b").select("a", "b", (F.col("a") == F.col("best")).alias("best")), "hubs")
         several = materialize(joined.select("c").distinct(), "several")
         picked = texts.withColumn("c", F.col("id")).where(KeyFilter(several, F.xxhash64("c")).may_hold())

@@ -60,15 +60,16 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, temperatu
     return sizes.select("source", "rate", "draws", cdf.alias("cdf"))
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, temperature: float = 0.5, epochs: float = 1.0, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, temperature: float = 0.5, epochs: float = 1.0, seed: str = "mix", marks: bool = True) -> DataFrame:
     """Every column of `docs` (doc_id, text, source, ...) and copy_no, shuffle_key: each row as often as its Poisson
     number says, in an order hashed over all rows.
 
     The number depends only on the doc_id, the seed and the source's rate, so a rerun or a lost executor gives the
-    same rows, and rows that repeat a doc_id are repeated equally often.  A null doc_id is hashed as "null"; a null
+    same rows, and rows that agree in doc_id and source are repeated equally often.  A null doc_id is hashed as "null"; a null
     source is a source of its own; null texts have no characters; a source without characters has rate 0.  An empty
-    table gives an empty one.  Columns called copy_no or shuffle_key are replaced; others pass through."""
-    kept = [c for c in docs.columns if c.lower() not in ("copy_no", "shuffle_key")]
+    table gives an empty one.  Columns called copy_no or shuffle_key are replaced (without `marks` none are added and they pass
+    through); others pass through."""
+    kept = [c for c in docs.columns if not marks or c.lower() not in ("copy_no", "shuffle_key")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"))
     rates = source_rates(docs, weights, temperature, epochs)
     # Sources are few as a rule; where they are not, the join is a shuffle that adaptive execution splits.
@@ -90,7 +91,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy_no").cast("string")).cast("binary"))
     dealt = copies.select("row", "copy_no", key.alias("shuffle_key"))
     dealt = dealt.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
-    return dealt.select("row.*", "copy_no", "shuffle_key")
+    return dealt.select("row.*", "copy_no", "shuffle_key") if marks else dealt.select("row.*")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +107,11 @@ terms AS (SELECT source, draws, k, CASE WHEN rate = 0 THEN (k = 0)::INT ELSE exp
   FROM drawn, range({TERMS}) r(k)),
 cumulated AS (SELECT source, draws, k, sum(term) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
 tables AS (SELECT source, any_value(draws) AS draws, list(c ORDER BY k) AS cdf FROM cumulated GROUP BY source),
-hashed AS (SELECT d.*, t.cdf, unnest(range(1, draws + 1)) AS draw FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
-numbers AS (SELECT doc_id, text, lang, source, n_chars,
+rows AS (SELECT *, row_number() OVER () AS row FROM documents),
+hashed AS (SELECT d.*, t.cdf, unnest(range(1, draws + 1)) AS draw FROM rows d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
+numbers AS (SELECT row, doc_id, text, lang, source, n_chars,
   len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || draw), 1, 13))::BIGINT / 4503599627370496.0)) AS x FROM hashed),
-counted AS (SELECT doc_id, text, lang, source, n_chars, sum(x)::BIGINT AS n FROM numbers GROUP BY ALL)
+counted AS (SELECT row, doc_id, text, lang, source, n_chars, sum(x)::BIGINT AS n FROM numbers GROUP BY ALL)
 SELECT doc_id, text, lang, source, n_chars, copy_no,
   md5('mix/order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy_no) AS shuffle_key
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy_no FROM counted)
