@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, exact_dedup, license_scan, line_dedup, minhash_dedup, mixing, quality, substring_dedup, suffix_dedup, vector_dedup
-from textloom.llm.common import components
+from textloom.llm.common import KeyFilter, clean, components, materialize, shared_folder
 
 from . import helpers as H
 
@@ -311,3 +311,45 @@ def test_candidates_lose_no_similar_pair(spark, sizes):
         for b in range(a + 1, len(sets)):
             if a // 2 != b // 2 and 100 * len(one & sets[b]) >= 80 * len(one | sets[b]):
                 assert (a, b) in got
+
+
+def test_components_of_a_heavy_centre(spark, monkeypatch):
+    from textloom.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_EDGES", 10)
+    monkeypatch.setattr(common, "HEAVY", 30)
+    monkeypatch.setattr(common, "HEAVY_SHARE", 50)
+    edges = [(500, i) for i in range(200)] + [(1000 + i, 1001 + i) for i in range(50)] + [(199, 2000)]
+    found = {r["id"]: r["component_id"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == dict.fromkeys([*range(200), 500, 2000], 0) | dict.fromkeys(range(1000, 1051), 1000)
+
+
+def test_filters_lose_no_key(spark, monkeypatch):
+    """Whatever their number: those within the bound, and a set too large for a filter."""
+    keys, rows = spark.range(0, 3000, 3), spark.range(3000)
+    for most in (30, 12):
+        monkeypatch.setattr(KeyFilter, "MOST_BITS", most)
+        passed = {r[0] for r in rows.where(KeyFilter(keys, F.xxhash64("id")).may_hold()).collect()}
+        assert passed >= set(range(0, 3000, 3)) and (len(passed) < 1100) == (most == 30)
+
+
+def test_saturated_sketch_loses_nothing(spark, monkeypatch):
+    """With far too few cells most runs pass, and the results stay."""
+    from textloom.llm import sketch
+
+    monkeypatch.setattr(sketch, "MOST_BITS", 8)
+    monkeypatch.setattr(sketch, "FEWEST_BITS", 8)
+    rows = distinct_ids()
+    found = substring_dedup.substring_dedup(H.frame(spark, rows)).collect()
+    assert sorted((H.ordered(r["doc_id"]), r["n_words"], r["n_removed"], H.sha(r["kept_text"])) for r in found) == sorted(H.removed_words(rows))
+    found = suffix_dedup.suffix_dedup(H.frame(spark, rows)).collect()
+    assert sorted((H.ordered(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], H.sha(bytes(r["kept"]))) for r in found) == H.removed_bytes(rows)
+
+
+def test_clean_deletes_what_was_written(spark):
+    import os
+
+    written = materialize(spark.range(5), "five")
+    assert written.count() == 5 and os.listdir(shared_folder(spark).removeprefix("file:"))
+    clean(spark)
+    assert not os.path.exists(shared_folder(spark).removeprefix("file:"))

@@ -106,18 +106,18 @@ def later_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
 class KeyFilter:
     """A bit array over hashed keys: says no only for keys that aren't in the set.
 
-    It has sixteen bits for each key, so that about one other key in sixteen passes, up to 2**MOST_BITS bits, which is
-    what may be broadcast.  For a larger set there is no filter: every row may hold a key, and the join that follows
-    does the work."""
+    It has 64 bits or more for each key, so that one other key in 64 passes at most, up to 2**MOST_BITS bits, which is
+    what may be broadcast.  For a set of more than an eighth of that there is no filter: every row may hold a key, and
+    the join that follows does the work."""
 
-    MOST_BITS = 29
+    LEAST_BITS, MOST_BITS = 23, 30
 
     def __init__(self, keys: DataFrame, hashed: Column):
         """hashed: a long that is spread evenly, made of the columns of `keys` and of the rows tested later."""
         self.hashed, spark = hashed, keys.sparkSession
-        wanted = int(np.ceil(np.log2(16 * max(keys.count(), 1))))
-        self.bits = max(18, wanted)
-        if wanted > self.MOST_BITS:
+        n = max(keys.count(), 1)
+        self.bits = int(min(self.MOST_BITS, max(self.LEAST_BITS, np.ceil(np.log2(64 * n)))))
+        if 8 * n > 2**self.MOST_BITS:
             self.bits, self.shared = 0, spark.sparkContext.broadcast(np.full(1, 255, np.uint8))
             return
         slot = self._slot()
