@@ -337,8 +337,8 @@ def test_saturated_sketch_loses_nothing(spark, monkeypatch):
     """With far too few cells most runs pass, and the results stay."""
     from textloom.llm import sketch
 
-    monkeypatch.setattr(sketch, "MOST_BITS", 8)
-    monkeypatch.setattr(sketch, "FEWEST_BITS", 8)
+    monkeypatch.setattr(sketch, "MOST_BITS", 10)
+    monkeypatch.setattr(sketch, "FEWEST_BITS", 10)
     rows = distinct_ids()
     found = substring_dedup.substring_dedup(H.frame(spark, rows)).collect()
     assert sorted((H.ordered(r["doc_id"]), r["n_words"], r["n_removed"], H.sha(r["kept_text"])) for r in found) == sorted(H.removed_words(rows))

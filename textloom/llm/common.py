@@ -185,17 +185,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def state(rows: DataFrame) -> tuple:
         return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def few_files(rows: DataFrame, n: int) -> DataFrame:
+        return rows.coalesce(8) if n <= BROADCAST_EDGES else rows
+
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     now = materialize(now, "edges")
     mark = state(now)
     for _ in range(most_rounds if mark[0] else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = materialize(large.distinct(), "edges")
+        large = materialize(few_files(large.distinct(), mark[0]), "edges")
         small = _with_least(large, mark[0]).select("u", "v", "m")
         # a centre links with its minimum, its other neighbours do too
         linked = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        before, now = now, materialize(linked.distinct(), "edges")
+        before, now = now, materialize(few_files(linked.distinct(), mark[0]), "edges")
         discard(before, large)
         if (said := state(now)) == mark:
             break

@@ -8,8 +8,8 @@ most one differing symbol, so that every chunk is indexed once with each of its
 Links are confirmed on the full sets.  A pair at similarity 0.8 differs in 12.8 symbols on average with a standard
 deviation of 3.2, so that about one in ten thousand such pairs lies beyond the distance; more similar ones less.
 
-No bucket is expanded into all its pairs.  First each set, then in some rounds each component, is compared with the one
-hub, the smallest member of a bucket, with which it shares most buckets; that links groups of copies.  What is left are members of buckets that hold several components: texts that share a common
+No bucket is expanded into all its pairs.  First each set, then each component, is compared with the one hub, the
+smallest member of a bucket, with which it shares most buckets; that links groups of copies.  What is left are members of buckets that hold several components: texts that share a common
 passage, and the fringe of large groups.  No index over signatures alone can tell those apart without comparing each
 with each, for they lie just beyond the threshold.  Of them two members of different components are candidates only if
 their full sets can still reach the similarity: shingles are put in order of their true frequency among these texts,
@@ -34,8 +34,6 @@ from .windows import gram_hashes, mix
 SYMBOLS, DISTANCE, CHUNKS = 64, 25, 13
 BOUNDS = [round(i * SYMBOLS / CHUNKS) for i in range(CHUNKS + 1)]
 SIMILARITY = 80  # per cent
-#: Rounds in which each component tries the hub it shares most keys with, after each set has; then all is compared.
-ROUNDS = 2
 #: Sizes of sets fall in classes, each so much wider than the one before from FINE on, where every size has its own.
 FINE, WIDER = 50, 1.02
 _FACTORS = np.random.default_rng(9).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,7 +43,7 @@ class _Hashes(dict):
     """word -> 64-bit hash, filled when asked."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -238,30 +236,26 @@ class Join:
         self.keys = materialize(_index(self.sets), "keys")
         hubs = self.keys.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("last")).where("hub < last").select("key", "hub")
         joined = self.keys.join(hubs, "key")
-        # hubs of each member, with the number of keys it shares with them
+        # hubs of each member, with the number of keys it shares with them; the one with most is marked
         own = joined.where("c != hub").groupBy(F.col("c").alias("b"), F.col("hub").alias("a")).agg(F.count(F.lit(1)).alias("shared"))
-        self.hubs = materialize(own, "hubs")
+        best = own.groupBy("b").agg(F.max_by("a", F.struct("shared", F.bitwise_not("a"))).alias("best"))
+        self.hubs = materialize(own.join(best, "b").select("a", "b", "shared", (F.col("a") == F.col("best")).alias("best")), "hubs")
         several = materialize(joined.select("c").distinct(), "several")
         picked = texts.withColumn("c", F.col("id")).where(KeyFilter(several, F.xxhash64("c")).may_hold())
         self.texts = materialize(picked.join(self.sets.select("c", "th"), ["c", "th"]).select("c", "text").distinct(), "texts")
-        self.reached = texts.select("id", F.col("id").alias("component_id")).limit(0)
-        tested = [materialize(self._best(self.hubs.withColumns({"comp_a": F.col("a"), "comp_b": F.col("b")})), "pairs")]
-        self._extend(self._confirmed(self._near_pairs(tested[0])))
-        for _ in range(ROUNDS):
-            comp_a, comp_b = (self.reached.select(F.col("id").alias(x), F.col("component_id").alias(f"comp_{x}")) for x in "ab")
-            placed = self.hubs.join(comp_a, "a", "left").join(comp_b, "b", "left").withColumns({f"comp_{x}": F.coalesce(f"comp_{x}", x) for x in "ab"})
-            for before in tested:
-                placed = placed.join(before, ["a", "b"], "left_anti")
-            tested.append(materialize(self._best(placed.where("comp_a != comp_b")), "pairs"))
-            self._extend(self._confirmed(self._near_pairs(tested[-1])))
-        self._extend(self._rest(tested))
-        discard(self.sets, self.keys, self.hubs, several, self.texts, *tested)
-
-    def _best(self, hubs: DataFrame) -> DataFrame:
-        """(a, b): of the pairs (a, b, shared, comp_a, comp_b) that of each component on either side with most keys."""
-        ends = hubs.select("a", "b", "shared", F.explode(F.array("comp_a", "comp_b")).alias("comp"))
-        best = ends.groupBy("comp").agg(F.max(F.struct("shared", F.bitwise_not("a").alias("a"), F.bitwise_not("b").alias("b"))).alias("best"))
-        return best.select(F.bitwise_not("best.a").alias("a"), F.bitwise_not("best.b").alias("b")).distinct()
+        first = self._near_pairs(self.hubs.where("best").select("a", "b"))
+        self.reached = materialize(components(self._confirmed(first)), "reached")
+        self._extend(self._confirmed(self._near_pairs(self._next_hubs())))
+        self._extend(self._rest())
+        discard(self.sets, self.keys, self.hubs, several, self.texts)
+
+    def _next_hubs(self) -> DataFrame:
+        """(a, b): of the pairs of hub and member in different components that of each component with most keys."""
+        comp_a, comp_b = (self.reached.select(F.col("id").alias(x), F.col("component_id").alias(f"comp_{x}")) for x in "ab")
+        placed = self.hubs.where("not best").join(comp_a, "a", "left").join(comp_b, "b", "left").withColumns({f"comp_{x}": F.coalesce(f"comp_{x}", x) for x in "ab"})
+        ends = placed.where("comp_a != comp_b").select("a", "b", "shared", F.explode(F.array("comp_a", "comp_b")).alias("comp"))
+        found = ends.groupBy("comp").agg(F.max(F.struct("shared", F.bitwise_not("a").alias("a"), F.bitwise_not("b").alias("b"))).alias("most"))
+        return found.select(F.bitwise_not("most.a").alias("a"), F.bitwise_not("most.b").alias("b")).distinct()
 
     def _extend(self, links: DataFrame) -> None:
         links = materialize(links, "links")
@@ -281,8 +275,8 @@ class Join:
         joined = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
         return joined.mapInArrow(_confirm(self.words, self.similarity), "a long, b long")
 
-    def _rest(self, tested: list[DataFrame]) -> DataFrame:
-        """Links between different components that buckets hold beside the pairs tested."""
+    def _rest(self) -> DataFrame:
+        """Links between different components that buckets hold beside the pairs tried before."""
         rows = self.keys.join(self.reached.withColumnRenamed("id", "c"), "c", "left").select("key", "c", F.coalesce("component_id", "c").alias("comp"))
         rows = materialize(rows, "members")
         mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
@@ -290,8 +284,6 @@ class Join:
         texts = self.texts.join(members.select("c"), "c", "left_semi")
         tokens = materialize(texts.mapInArrow(_shingles(self.words), "c long, n long, token long"), "shingles")
         pairs = candidates(tokens, members, self.similarity)
-        for before in tested:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
         return self._confirmed(materialize(self._near_pairs(pairs), "more-pairs"))
 
 

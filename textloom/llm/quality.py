@@ -38,7 +38,7 @@ class _Buckets(dict):
     """word -> bucket, filled when asked."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         bucket = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
         return bucket

@@ -27,7 +27,7 @@ class _Hashes(dict):
     """word -> 64-bit hash, filled when asked."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
