@@ -1,13 +1,27 @@
-"""Parameter search: seeded draws from a grid, trials done before, the best of them."""
+"""Parameter search: seeded draws from a grid, trials trained side by side and kept in a table, trials done before, the
+best of them (C6, C8-C10, C14, C17)."""
 
 from __future__ import annotations
 
+import json
+import pickle
 import random
+from collections.abc import Callable, Iterator
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import neural
+
+#: A trial with its settings, best epoch, losses, F1 on the validation rows, weights and history.
+RECORD = (
+    "model string, settings string, epochs int, best_epoch int, loss double, val_loss double, f1 double, duration double, "
+    "weights binary, history array<struct<epoch:int,loss:double,val_loss:double,duration:double>>"
+)
+
 # The grids searched.
 MLP_GRID = {"first": [200, 500, 1000, 2000], "second": [None, 500, 1000, 2000], "input_dropout": [False], "dropout": [True]}
 LSTM_GRID = {"units": [500, 1000], "w_dropout": [0.0, 0.5], "u_dropout": [0.0, 0.5], "layers": [1, 2, 3]}
@@ -32,3 +46,91 @@ def open_trials(spark: SparkSession, settings: list[dict], done: DataFrame) -> D
 def best(done: DataFrame, metric: str = "f1") -> DataFrame:
     """The trial with the largest metric, ties by name."""
     return done.orderBy(F.desc(metric), "model").limit(1)
+
+
+Build = Callable[[dict], object]
+
+
+def mlp(inputs: int, outputs: int, scale: float = 1.0) -> Build:
+    """C4 from settings of MLP_GRID: dropouts are 0.7 of the inputs kept out and 0.5 of hidden units where drawn.
+    `scale` shrinks the layers for small tables."""
+
+    def build(s: dict):
+        hidden = tuple(max(1, round(n * scale)) for n in (s["first"], s["second"]) if n)
+        return neural.MLP(inputs, outputs, hidden, input_dropout=0.7 if s["input_dropout"] else 0.0, dropout=0.5 if s["dropout"] else 0.0)
+
+    return build
+
+
+def lstm(width: int, outputs: int, scale: float = 1.0) -> Build:
+    """C13 from settings of LSTM_GRID."""
+    return lambda s: neural.LSTM(width, outputs, max(1, round(s["units"] * scale)), s["layers"], s["w_dropout"], recurrent=s["u_dropout"], filters=s.get("filters", 0))
+
+
+def micro_f1(p: np.ndarray, y: np.ndarray, above: float = 0.5) -> float:
+    hit = ((p > above) & (y > above)).sum()
+    return float(2 * hit / max(1, (p > above).sum() + (y > above).sum()))
+
+
+def run(spark: SparkSession, settings: list[dict], build: Build, data: tuple[np.ndarray, ...], path: str, **fitting) -> DataFrame:
+    """Train the settings that the trial table at `path` does not have yet, and return the whole table.
+
+    Each open trial is a task of its own over the same bounded training rows `data` (x, y, validation x and y), which are
+    broadcast; their number is the caller's documented bound.  A task appends its record, so that a lost one is repeated
+    alone and a later call skips what is done."""
+    done = read(spark, path)
+    named = {name(s): s for s in settings}
+    left = sorted(r["model"] for r in open_trials(spark, settings, done).collect())  # as many as were drawn
+    if left:
+        shared = spark.sparkContext.broadcast(data)
+
+        def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for key in batch["model"]:
+                    model = build(named[key])
+                    history = neural.fit(model, *shared.value, **fitting)
+                    best_ = min(history, key=lambda h: h["val_loss"])
+                    x, y = shared.value[2:]
+                    record = {
+                        "model": key,
+                        "settings": json.dumps(named[key]),
+                        "epochs": len(history),
+                        "best_epoch": best_["epoch"],
+                        "loss": best_["loss"],
+                        "val_loss": best_["val_loss"],
+                        "f1": micro_f1(model.predict(x), y),
+                        "duration": sum(h["duration"] for h in history),
+                        "weights": pickle.dumps(model.weights),
+                        "history": history,
+                    }
+                    yield pd.DataFrame([record])
+
+        todo = spark.createDataFrame([(m,) for m in left], "model string").repartitionByRange(len(left), "model")
+        todo.mapInPandas(train, RECORD).write.mode("append").parquet(path)
+        done = read(spark, path)
+    return done
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The trial table; an empty one where none was written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], RECORD)
+    return spark.read.schema(RECORD).parquet(path)
+
+
+def restored(done: DataFrame, settings: dict, build: Build):
+    """The network of the trial with these settings; an error if it was not trained."""
+    found = done.where(F.col("model") == name(settings)).select("weights").first()
+    if found is None:
+        raise LookupError(f"no trial {name(settings)}")
+    model = build(settings)
+    model.weights = pickle.loads(found["weights"])
+    return model
+
+
+def history(done: DataFrame) -> DataFrame:
+    """C17, X11: (model, epoch, loss, val_loss, duration, best), one row an epoch; `best` marks a new least val_loss."""
+    before = F.min("val_loss").over(Window.partitionBy("model").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1))
+    rows = done.select("model", F.inline("history"))
+    return rows.withColumn("best", F.coalesce(F.col("val_loss") < before, F.lit(True)))

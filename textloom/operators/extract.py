@@ -52,6 +52,8 @@ PATHS = {
 SUBTREES = {4: {"abstract_xml": "abstract", "description_xml": "description", "claims_xml": "claims"}, 2: {"abstract_xml": "SDOAB", "description_xml": "SDODE", "claims_xml": "SDOCL"}}
 REQUIRED = ["ipc", "inventors", "abstract_xml", "description_xml", "claims_xml"]
 LISTS = ("classification_national_further", "us_field_of_search", "references_cited", "inventors", "classification_ipc")
+#: Fields without white space.
+SQUEEZED = {"references_cited", "us_field_of_search"} | {f for f in PATHS[4] if f.startswith("classification")}
 
 
 def clean_xml(xml: Column) -> Column:
@@ -118,14 +120,33 @@ def _subtrees(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, T.StructType(list(rows.schema.fields)).add("abstract_xml", "string").add("description_xml", "string").add("claims_xml", "string").add("error", "string"))
 
 
+def parsed_documents(raw: DataFrame) -> DataFrame:
+    """Every document, with its text fields or with the `error` of the parser."""
+    return _subtrees(raw.withColumn("xml", clean_xml(F.col("xml"))))
+
+
+def rejected(raw: DataFrame) -> DataFrame:
+    """(path, seq, error, xml) of documents that `patents` leaves out because they cannot be parsed."""
+    return parsed_documents(raw).where("error is not null").select("path", "seq", "error", "xml")
+
+
+def fields(raw: DataFrame, version: int) -> DataFrame:
+    """The values of every field of documents (doc_id, xml) in one schema version; arrays or null."""
+    return raw.select("doc_id", *[values(_texts(path), name in SQUEEZED).alias(name) for name, path in PATHS[version].items()])
+
+
+def json_values(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """(*keep, key, value), one row for each entry of a JSON object; broken or null JSON gives none."""
+    return rows.select(*keep, F.explode(F.from_json(column, "map<string,string>")).alias("key", "value"))
+
+
 def patents(raw: DataFrame) -> DataFrame:
     """P1-P15 over raw documents (path, year, seq, dtd_version, xml): one row for each complete patent."""
-    parsed = _subtrees(raw.withColumn("xml", clean_xml(F.col("xml")))).where("error is null")
+    parsed = parsed_documents(raw).where("error is null")
     columns = []
     for name in PATHS[4]:
         one = F.when(F.col("dtd_version") == 4, _texts(PATHS[4][name])).otherwise(_texts(PATHS[2][name]))
-        squeeze = name.startswith("classification") or name in ("references_cited", "us_field_of_search")
-        columns.append(values(one, squeeze).alias(name))
+        columns.append(values(one, name in SQUEEZED).alias(name))
     rows = parsed.select("path", "seq", "dtd_version", *SUBTREES[4], *columns)
     rows = rows.where((F.col("dtd_version") == 4) | valid_version_2(F.col("classification_ipc")))
     last_first = F.when(F.col("dtd_version") == 4, chunk_inventors(F.col("inventors"), True)).otherwise(chunk_inventors(F.col("inventors"), False))

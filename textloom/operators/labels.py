@@ -48,6 +48,14 @@ def one_hot(doc_labels: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.transform("names", lambda n: F.array_contains("labels", n).cast("tinyint")).alias("ones"))
 
 
+def sparse_matrix(doc_labels: DataFrame, dim: DataFrame, splits: DataFrame) -> DataFrame:
+    """(level, split, doc_id, ones), for each level and split a row a document with the ordinals of its valid
+    labels, sorted; a document without one has an empty row.  Dense rows would be as wide as the label scheme."""
+    valid = dim.where("is_valid").select("level", "label", "ordinal")
+    joined = doc_labels.join(valid, ["level", "label"], "left").groupBy("level", "doc_id").agg(F.array_sort(F.collect_list("ordinal")).alias("ones"))
+    return joined.join(splits.select("doc_id", "split"), "doc_id").select("level", "split", "doc_id", "ones")
+
+
 def split(doc_labels: DataFrame, strata: str = "subclass", part: float = 0.2) -> DataFrame:
     """(doc_id, split).  A document belongs to the first of its labels in order; inside a stratum documents
     rank by a hash, and the ranks are cut into test, validation and training.

@@ -57,6 +57,16 @@ def assemble(vectors: DataFrame, size: int, width: int) -> DataFrame:
     return gathered.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), zero)).alias("seq"))
 
 
+def sequences_of_level(vectors: DataFrame, level: int, width: int) -> DataFrame:
+    """H2-H6: (doc_id, seq) of rows (doc_id, level, part_name, part_no, vec): 1, 4 or 34 vectors of a document.
+
+    The slot is a literal map from the part, so nothing is joined."""
+    places = F.create_map(*[F.lit(x) for n, name, no, slot in slots(level) for x in (f"{n}/{name}/{no}", slot)])
+    part = F.concat_ws("/", F.col("level").cast("string"), F.coalesce("part_name", F.lit("document")), F.coalesce("part_no", F.lit(0)).cast("string"))
+    placed = vectors.select("doc_id", F.try_element_at(places, part).alias("slot"), "vec").where("slot is not null")
+    return assemble(placed, len(slots(level)), width)
+
+
 def flattened(sequences: DataFrame) -> DataFrame:
     """H8."""
     return sequences.select("doc_id", F.flatten("seq").alias("flat"))

@@ -1,4 +1,4 @@
-"""Archives of concatenated XML documents, link pages, and keyed sinks."""
+"""Archives of concatenated XML documents, link pages, and keyed sinks."""
 
 from __future__ import annotations
 
@@ -59,20 +59,61 @@ def documents(unzipped: DataFrame) -> DataFrame:
     return rows.select("path", "year", "seq", F.when(F.col("year") > 2004, 4).otherwise(2).alias("dtd_version"), "xml")
 
 
-def token_lines(lines: DataFrame) -> DataFrame:
-    """(id, rest) of text lines."""
+DECLARATION = b"<?xml"
+
+
+def split_archives(files: DataFrame) -> DataFrame:
+    """(path, year, seq, dtd_version, xml), the documents of each archive's first entry called like XML.
+
+    The entry is read in blocks and each document goes out once it is whole, so that no cell holds an entry."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, year, content in zip(batch["path"], batch["year"], batch["content"], strict=True):
+                version = 4 if year > 2004 else 2
+                for seq, xml in enumerate(_pieces(content)):
+                    yield pd.DataFrame({"path": [path], "year": [year], "seq": [seq], "dtd_version": [version], "xml": [xml]})
+
+    return files.select("path", "year", "content").mapInPandas(run, "path string, year int, seq int, dtd_version int, xml string")
+
+
+def _pieces(content: bytes, block: int = 1 << 20) -> Iterator[str]:
+    """What lies before the first declaration and from each one to the next, white space alone left out."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            name = next((n for n in z.namelist() if re.search("XML|xml", n)), None)
+            if name is None:
+                return
+            with z.open(name) as entry:
+                held, seen = bytearray(), 1
+                while more := entry.read(block):
+                    held += more
+                    while (at := held.find(DECLARATION, seen)) >= 0:
+                        if (piece := held[:at].decode("utf-8", "replace")).strip():
+                            yield piece
+                        del held[:at]
+                        seen = 1
+                    seen = max(1, len(held) - len(DECLARATION) + 1)
+                if (last := held.decode("utf-8", "replace")).strip():
+                    yield last
+    except zipfile.BadZipFile:
+        return
+
+
+def token_lines(lines: DataFrame, *keep: str) -> DataFrame:
+    """(id, rest) of text lines, and columns to keep."""
     pair = F.split("value", " ", 2)
-    return lines.select(F.get(pair, F.lit(0)).alias("id"), F.coalesce(F.get(pair, F.lit(1)), F.lit("")).alias("rest"))
+    return lines.select(F.get(pair, F.lit(0)).alias("id"), F.coalesce(F.get(pair, F.lit(1)), F.lit("")).alias("rest"), *keep)
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """K1: the last write of each key."""
-    by = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
+    """K1: the last write of each key, aggregated before the shuffle."""
+    every = F.struct(*rows.columns)
+    return rows.groupBy(key).agg(F.max_by(every, F.struct(*order)).alias("__last")).select("__last.*")
 
 
 def write_parts(parts: DataFrame, path: str) -> None:
-    """K4, K5: parts by split and level; a rerun replaces the folders it writes."""
+    """K5, K6: rows or arrays by split and level as Parquet; a rerun replaces the folders it writes."""
     parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "level").parquet(path)
 
 
