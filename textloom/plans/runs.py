@@ -183,7 +183,6 @@ def q_label_matrices(spark: SparkSession, d: str) -> DataFrame:
 def _topic_rows(spark: SparkSession, d: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents, and their topics by a model that is written and read again under its name."""
     own, features = _features(spark, d)
-    features = stores.kept(features, "features")
     where = f"{path or stores.scratch(spark, 'topics')}/{topics.name('bm25', 8, 5, 0.5)}"
     topics.save(topics.fit(features, topics=8, passes=5, batch=256), where)
     return own, stores.kept(topics.transform(topics.load(where), features), "topics")
