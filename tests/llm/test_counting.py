@@ -206,14 +206,15 @@ def test_runs_across_flushes(monkeypatch):
     """Texts cut into blocks and windows of a few words give the counts of whole ones, and the sketch loses none."""
     monkeypatch.setattr(collocations, "FLUSH", 5)
     monkeypatch.setattr(collocations, "NUMBERED", 4)
+    monkeypatch.setattr(collocations, "SHARD_BITS", 2)
     monkeypatch.setattr(collocations, "blocks", lambda t, border: filter_audit.blocks(t, border, 3))
     rows = [(i, t, lang, None, 1) for i, (t, lang) in enumerate([("a b a b a b c. a b", "x"), ("", "x"), ("a b", "y"), ("b a b a, b a b", "x")] * 3)]
     batch = pa.RecordBatch.from_pydict({"lang": [r[2] for r in rows], "text": [r[1] for r in rows]})
     sums = [np.zeros(2**8, np.int64) for _ in range(2)]
     for part in collocations._count(8, 4, 100)(iter([batch])):
-        for shard, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
+        for fold, shard, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
             at, counts = collocations.unpacked(data)
-            np.add.at(sums[shard // 64], at + shard % 64 * 4, counts)
+            np.add.at(sums[fold % 2], at + shard * 4, counts)
 
     class Shared:
         value = np.stack([np.packbits(s >= 4) for s in sums])
@@ -234,6 +235,30 @@ def test_runs_across_flushes(monkeypatch):
     assert all(f <= want[k] for k, f in found.items())
 
 
+def test_folded_sketch(monkeypatch):
+    """Merging by shards and folding gives the bits of one whole array, folded."""
+    monkeypatch.setattr(collocations, "SHARD_BITS", 4)
+    monkeypatch.setattr(collocations, "FOLDED_BITS", 6)
+    rng = np.random.default_rng(3)
+    bits, rows, want = 9, [], np.zeros((2, 2**9), np.int64)
+    for _ in range(5):
+        items, counts = rng.integers(0, 2**63, 200).astype(np.uint64), rng.integers(1, 9, 200)
+        for row in range(2):
+            np.add.at(want[row], collocations.cells(items, row, bits).astype(np.int64), counts)
+        rows += [(shard % 4 * 2 + row, shard, data) for row, shard, data in collocations.sketch_of(items, counts, bits, 10)]
+    rows.sort()
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["fold", "shard", "cells"])
+    got = np.zeros((2, 4, 2), np.uint8)
+    for part in collocations._merge(bits, 10)(iter([batch])):
+        for fold, many in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            got[fold % 2, fold // 2] = np.frombuffer(many, np.uint8)
+    folded = np.stack([(r.reshape(-1, 2**6) >= 10).any(axis=0) for r in want])
+    assert np.array_equal(np.unpackbits(got.reshape(2, -1), axis=1).astype(bool), folded)
+    items = rng.integers(0, 2**63, 50).astype(np.uint64)
+    said = collocations.may_be_frequent(got.reshape(2, -1), items, bits)
+    assert said.tolist() == [all(folded[r, int(collocations.cells(items[i : i + 1], r, bits)[0]) % 64] for r in range(2)) for i in range(50)]
+
+
 def test_exact_scores(spark):
     """Numbers whose products pass 64 bits."""
     big = 4 * 10**15

@@ -29,10 +29,12 @@ NO_LANG = "und"
 #: What ends a piece, and what separates words besides; both are safe places to cut a text.
 ENDS, BORDER = b".,;:!?\n\x0b\x0c\r", re.compile(rb"[ \t.,;:!?\x0a-\x0d]")
 _AS_STOP = bytes.maketrans(ENDS, b"." * len(ENDS))
-#: Rows of a sketch, and shards of cells of a row (as a power of two), the unit of merging.
-DEPTH, SHARD_BITS = 2, 6
-#: Cells of a row as a power of two, so many that each gets about ITEMS_A_CELL runs, between these bounds.
-ITEMS_A_CELL, FEWEST_BITS, MOST_BITS = 8, 16, 30
+#: Rows of a sketch; cells of a shard, the unit of merging, as a power of two.
+DEPTH, SHARD_BITS = 2, 20
+#: Cells of a row as a power of two, so many that each gets about ITEMS_A_CELL runs; there are 2**26 at least.
+ITEMS_A_CELL, FEWEST_BITS, MOST_BITS = 12, 26, 50
+#: Bits of a row that are broadcast, as a power of two: cells beyond fall together, which counts only for frequent ones.
+FOLDED_BITS = 29
 #: Words (with the borders between pieces) that are worked on at once, and words that a worker numbers.
 FLUSH, NUMBERED = 1_500_000, 400_000
 #: Buckets of a language among which its best phrases are first sought.
@@ -133,19 +135,20 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(np.uint32).ravel(), dtype=np.int64), raw[4 * n :]
 
 
-def sketch_of(items: np.ndarray, counts: np.ndarray, bits: int, most: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, cells) of a sketch of the items with their counts; cells count to `most`."""
-    low = np.uint64(bits - SHARD_BITS)
+def sketch_of(items: np.ndarray, counts: np.ndarray, bits: int, most: int) -> Iterator[tuple[int, int, bytes]]:
+    """(row, shard, cells) of a sketch of the items with their counts; cells count to `most`."""
+    low = np.uint64(min(bits, SHARD_BITS))
     for row in range(DEPTH):
-        # cells hold at most 30 bits, counts eight: one sort puts both in order
+        # counts hold eight bits: one sort puts cells and counts in order
         keyed = np.sort(cells(items, row, bits) << np.uint64(8) | np.minimum(counts, most).astype(np.uint64))
         at, n = keyed >> np.uint64(8), (keyed & np.uint64(255)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         at, n = at[first], np.minimum(np.add.reduceat(n, first), most)
-        edges = np.searchsorted(at, np.arange(2**SHARD_BITS + 1, dtype=np.uint64) << low)
-        for shard, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if a < b:
-                yield row * 2**SHARD_BITS + shard, packed((at[a:b] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.uint32), n[a:b])
+        shards = (at >> low).astype(np.int64)
+        inside = (at & ((np.uint64(1) << low) - np.uint64(1))).astype(np.uint32)
+        edges = np.append(np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]), len(at))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield row, int(shards[a]), packed(inside[a:b], n[a:b])
 
 
 def _count(bits: int, longest: int, most: int):
@@ -156,51 +159,59 @@ def _count(bits: int, longest: int, most: int):
             found, counts = np.unique(np.concatenate([hashes[starts] for _, hashes, starts in runs_of(numbers, own, words, longest)]), return_counts=True)
             items, counts = np.concatenate([np.array(words.hashes, np.uint64)[used], found]), np.concatenate([times, counts])
             if len(items):
-                shards, blobs = zip(*sketch_of(items, counts, bits, most), strict=True)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(shards, pa.int32()), "cells": pa.array(blobs, pa.binary())})
+                rows, shards, blobs = zip(*sketch_of(items, counts, bits, most), strict=True)
+                fold = (np.array(shards) & (2 ** max(0, FOLDED_BITS - SHARD_BITS) - 1)) * DEPTH + np.array(rows)
+                yield pa.RecordBatch.from_pydict({"fold": pa.array(fold, pa.int64()), "shard": pa.array(shards, pa.int64()), "cells": pa.array(blobs, pa.binary())})
 
     return run
 
 
 def _merge(bits: int, most: int):
-    """Add up the sketches of each shard (rows come sorted by shard); what comes out is a bit a cell: `most` or more."""
+    """Add up the sketches of each shard (rows come sorted by fold and shard); what comes out for each fold is a bit a
+    cell: `most` or more in one of its shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, sums = None, np.zeros(0, np.uint8)
+        last, sums, many = None, np.zeros(2 ** min(bits, SHARD_BITS), np.uint8), np.zeros(2 ** min(bits, SHARD_BITS), bool)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "many": pa.array([np.packbits(sums >= most).tobytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"fold": pa.array([last[0]], pa.int64()), "many": pa.array([np.packbits(many).tobytes()], pa.binary())})
 
         for batch in batches:
-            for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if s != shard:
-                    if shard is not None:
+            for fold, shard, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last != (fold, shard):
+                    many |= sums >= most
+                    sums[:] = 0
+                    if last is not None and last[0] != fold:
                         yield out()
-                    shard, sums = s, np.zeros(2 ** (bits - SHARD_BITS), np.uint8)
+                        many[:] = False
+                    last = fold, shard
                 at, counts = unpacked(data)  # different cells; sums stay below 2 * most
                 sums[at] = np.minimum(sums[at] + counts, most)
-        if shard is not None:
+        if last is not None:
+            many |= sums >= most
             yield out()
 
     return run
 
 
 def frequent_cells(texts: DataFrame, bits: int, longest: int, least: int) -> Broadcast:
-    """The merged sketch of all runs, as a bit a cell: counted `least` times or more (DEPTH * 2**bits / 8 bytes).  Cells
-    count to 127 at most."""
+    """The merged sketch of all runs, as a bit a cell: counted `least` times or more (cells count to 127 at most).
+
+    Cells grow with the texts and are merged in shards; what goes to the driver and back are DEPTH rows of at most
+    2**FOLDED_BITS bits, whatever the number of cells."""
     least = min(least, 127)
-    sent = texts.mapInArrow(_count(bits, longest, least), "shard int, cells binary")
-    merged = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge(bits, least), "shard int, many binary")
-    whole = np.zeros((DEPTH * 2**SHARD_BITS, 2 ** (bits - SHARD_BITS) // 8), np.uint8)
+    sent = texts.mapInArrow(_count(bits, longest, least), "fold long, shard long, cells binary")
+    merged = sent.repartition("fold").sortWithinPartitions("fold", "shard").mapInArrow(_merge(bits, least), "fold long, many binary")
+    whole = np.zeros((DEPTH, 2 ** max(0, min(bits, FOLDED_BITS) - SHARD_BITS), 2 ** min(bits, SHARD_BITS) // 8), np.uint8)
     for r in merged.toLocalIterator():
-        whole[r["shard"]] = np.frombuffer(r["many"], np.uint8)
+        whole[r["fold"] % DEPTH, r["fold"] // DEPTH] = np.frombuffer(r["many"], np.uint8)
     return texts.sparkSession.sparkContext.broadcast(whole.reshape(DEPTH, -1))
 
 
 def may_be_frequent(sketch: np.ndarray, items: np.ndarray, bits: int) -> np.ndarray:
     said = np.ones(len(items), bool)
     for row in range(DEPTH):
-        at = cells(items, row, bits).astype(np.int64)
+        at = cells(items, row, bits).astype(np.int64) & (8 * sketch.shape[1] - 1)
         said &= (sketch[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
     return said
 
@@ -254,7 +265,7 @@ def _exact(bits: int, longest: int, shared: Broadcast):
 
 def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int | None = None) -> DataFrame:
     """(lang, words, phrase, f) of all runs of 1 to `longest` words with f >= `least`; with words = 0 the number of all
-    words of a language.  `bits`: cells of the sketch as a power of two, 9 to 30, by default by the size of the texts."""
+    words of a language.  `bits`: cells of the sketch as a power of two, 3 to 50, by default by the size of the texts."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if bits is None:
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
