@@ -9,6 +9,7 @@ scored by their weakest cut, and those that mostly stand inside a longer run go.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ ITEMS_A_CELL, FEWEST_BITS, MOST_BITS = 12, 26, 50
 #: Bits of a row that are broadcast, as a power of two: cells beyond fall together, which counts only for frequent ones.
 FOLDED_BITS = 29
 #: Words (with the borders between pieces) that are worked on at once, and words that a worker numbers.
-FLUSH, NUMBERED = 1_500_000, 400_000
+FLUSH, NUMBERED = 800_000, 250_000
 #: Buckets of a language among which its best phrases are first sought.
 BUCKETS = 16
 
@@ -61,7 +62,10 @@ class Words:
     """Numbers of the words of all languages; 0 is the border between pieces."""
 
     def __init__(self):
-        self.words, self.of_lang, self.hashes, self.by_lang = [b""], [0], [0], {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.of_lang, self.hashes, self.by_lang = [b""], array("i", [0]), array("Q", [0]), {}
 
     def numbers(self, text: bytes, lang: str) -> Iterator[np.ndarray]:
         """The text as numbers of words, in blocks."""
@@ -94,7 +98,7 @@ def streams(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[n
                     yield from flush()
                     waiting, held = [], 0
                     if len(words.words) > NUMBERED:
-                        words = Words()
+                        words.clear()
     if held:
         yield from flush()
 
