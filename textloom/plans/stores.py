@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import zips
+from ..sources import collection, zips
 from ..sources.stores import scratch
 from .catalog import docs, query
 
@@ -27,3 +27,26 @@ def q_archives(spark: SparkSession, d: str) -> DataFrame:
     text = _plain(F.regexp_extract("xml", r"(?s)<doc id=\"[0-9]+\">(.*)</doc>", 1))
     rows = zips.read_archives(spark, folder).select(F.regexp_extract("xml", '<doc id="([0-9]+)">', 1).cast("long").alias("doc_id"), "year", "dtd_version", text.alias("text"))
     return rows.select("doc_id", "year", "dtd_version", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_DOCUMENTS = "doc_id long, text string, lang string, source string"
+
+
+def _collection(spark: SparkSession, d: str) -> DataFrame:
+    folder = scratch(spark, "collection")
+    collection.write_collection(docs(spark, d), folder, "doc_id")
+    return collection.read_collection(spark, folder)
+
+
+@query("q_store_scan", "SELECT doc_id AS key, lang, source, length(coalesce(text, ''))::BIGINT AS n_chars, md5(coalesce(text, '')) AS digest FROM documents")
+def q_store_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All documents of a collection by key, range by range and page by page."""
+    rows = _collection(spark, d).select("key", F.from_json("document", _DOCUMENTS).alias("v"))
+    return rows.select("key", "v.lang", "v.source", F.length("v.text").cast("long").alias("n_chars"), F.md5(F.col("v.text").cast("binary")).alias("digest"))
+
+
+@query("q_store_range", "SELECT lang, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last, sum(length(coalesce(text, '')))::BIGINT AS n_chars FROM documents WHERE doc_id >= 150 AND doc_id < 650 GROUP BY lang")
+def q_store_range(spark: SparkSession, d: str) -> DataFrame:
+    """A range of keys; only its files and pages are read."""
+    rows = _collection(spark, d).where("key >= 150 and key < 650").select("key", F.from_json("document", _DOCUMENTS).alias("v"))
+    return rows.groupBy("v.lang").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last"), F.sum(F.length("v.text")).cast("long").alias("n_chars"))
