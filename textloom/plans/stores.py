@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources import collection, zips
 from ..sources.stores import scratch
-from .catalog import docs, query
+from ..streaming import ingest, keyed
+from .catalog import SQL, docs, query, table
 
 
 def _escaped(text):
@@ -50,3 +51,17 @@ def q_store_range(spark: SparkSession, d: str) -> DataFrame:
     """A range of keys; only its files and pages are read."""
     rows = _collection(spark, d).where("key >= 150 and key < 650").select("key", F.from_json("document", _DOCUMENTS).alias("v"))
     return rows.groupBy("v.lang").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last"), F.sum(F.length("v.text")).cast("long").alias("n_chars"))
+
+
+@query("q_stream_state", SQL["q_upsert_latest"])
+def q_stream_state(spark: SparkSession, d: str) -> DataFrame:
+    """S5, K1 with state: events land in three parts, the newest first, so that most rows come late, and the second part
+    lands twice; what the state holds in the end is what the whole table gives."""
+    base = scratch(spark, "keyed")
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    # by the day, so that no key's last rows are spread evenly over the parts
+    part = 2 - F.pmod(F.dayofyear("ts"), F.lit(3))
+    for number in (0, 1, 1, 2):
+        events.where(part == number).write.mode("append").parquet(f"{base}/landing")
+        keyed.upsert(ingest.landing(spark, f"{base}/landing", events.schema), "user_id", ["ts", "event_id"], f"{base}/changes", f"{base}/checkpoint").awaitTermination()
+    return keyed.current(spark, f"{base}/checkpoint", events.schema).select("user_id", "event_id", "event_type")
