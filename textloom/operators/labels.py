@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stores import kept
+from .ranks import kth, ordinals
+
 LEVELS = ("section", "class", "subclass")
 
 
@@ -33,11 +36,10 @@ def label_index(doc_labels: DataFrame) -> DataFrame:
 
 
 def label_dim(doc_labels: DataFrame, least: int = 3) -> DataFrame:
-    """(level, label, n_docs, is_valid, ordinal); ordinals count by length, then text.  Labels are a small
-    dimension, which grows with the scheme and not with the documents."""
-    order = Window.orderBy(F.length("label"), "label")
+    """(level, label, n_docs, is_valid, ordinal); ordinals count by length, then text."""
     valid = (F.col("level") == "section") | (F.col("n_docs") >= least)
-    return label_index(doc_labels).withColumn("is_valid", valid).withColumn("ordinal", F.row_number().over(order) - 1)
+    counted = ordinals(label_index(doc_labels).withColumn("is_valid", valid), "ordinal", F.length("label"), F.col("label"), F.col("level"))
+    return counted.withColumn("ordinal", F.col("ordinal").cast("int"))
 
 
 def one_hot(doc_labels: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -60,14 +62,21 @@ def split(doc_labels: DataFrame, strata: str = "subclass", part: float = 0.2) ->
     """(doc_id, split).  A document belongs to the first of its labels in order; inside a stratum documents
     rank by a hash, and the ranks are cut into test, validation and training.
 
-    The same as taking labels one after another and drawing from documents not yet assigned, without the loop."""
+    The same as taking labels one after another and drawing from documents not yet assigned, without the loop.  Ranks are
+    not counted: the last documents of test and validation are found (`ranks.kth`), and all others compared with them."""
     wanted = doc_labels if strata == "all" else doc_labels.where(F.col("level") == strata)
     first = wanted.groupBy("doc_id").agg(F.min(F.struct(F.length("label").alias("n"), "label")).alias("s")).select("doc_id", F.col("s.label").alias("stratum"))
-    sizes = first.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    spread = F.coalesce(F.col("doc_id") * 2654435761 % 1000003, F.lit(-(2**31)))
+    rows = kept(first.select("stratum", spread.cast("long").alias("spread"), F.col("doc_id").alias("id")), "strata")
+    sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
     share = lambda n: F.when(F.floor(n * part) > 0, F.floor(n * part)).when(n > 1, 1).otherwise(0)
     sizes = sizes.withColumn("n_test", share(F.col("n"))).withColumn("n_val", share(F.col("n") - F.col("n_test")))
-    spread = F.col("doc_id") * 2654435761 % 1000003
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy(spread, "doc_id")))
-    joined = ranked.join(sizes, "stratum")
-    name = F.when(F.col("rank") <= F.col("n_test"), "test").when(F.col("rank") <= F.col("n_test") + F.col("n_val"), "validation").otherwise("training")
-    return joined.select("doc_id", "stratum", name.alias("split"))
+    sizes = sizes.select("stratum", F.col("n_test").cast("long").alias("n_test"), (F.col("n_test") + F.col("n_val")).cast("long").alias("n_held"))
+    wanted = sizes.select("stratum", F.explode(F.array("n_test", "n_held")).alias("k"))
+    last = kth(rows, "stratum", wanted)
+    for which in ("test", "held"):
+        sizes = sizes.join(last.select("stratum", F.col("k").alias(f"n_{which}"), F.struct("spread", "id").alias(which)), ["stratum", f"n_{which}"], "left")
+    joined = rows.join(sizes.select("stratum", "test", "held"), "stratum")
+    upto = lambda c: F.coalesce((F.col("spread") < F.col(f"{c}.spread")) | ((F.col("spread") == F.col(f"{c}.spread")) & (F.col("id").isNull() | (F.col("id") <= F.col(f"{c}.id")))), F.lit(False))
+    name = F.when(upto("test"), "test").when(upto("held"), "validation").otherwise("training")
+    return joined.select(F.col("id").alias("doc_id"), "stratum", name.alias("split"))

@@ -82,7 +82,7 @@ def files_in_order(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
 
 
 def natural_order(rows: DataFrame, column: str) -> DataFrame:
-    """K8: rows with their `place` from 1 on.  For listings: names of files, not rows of tables, go to one task."""
-    from pyspark.sql import Window
+    """K8: rows with their `place` from 1 on, in ranges of names."""
+    from ..operators.ranks import ordinals
 
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(archive.natural_key(F.col(column)), column)).cast("long"))
+    return ordinals(rows, "place", archive.natural_key(F.col(column)), F.col(column), first=1)
