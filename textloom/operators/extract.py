@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.constants import IPC
+from .onepass import read_fields
 
 _GRANT = "/us-patent-grant/us-bibliographic-data-grant"
 #: Field -> path, for both schema versions; values are the text of every match.
@@ -97,32 +92,10 @@ def scalar(found: Column) -> Column:
     return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
 
 
-def _subtrees(rows: DataFrame) -> DataFrame:
-    """The first matching subtree of each text field as XML; nulls and a message where parsing fails."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = {name: [] for name in SUBTREES[4]} | {"error": []}
-            for xml, version in zip(batch["xml"], batch["dtd_version"], strict=True):
-                found, error = {}, None
-                try:
-                    root = ElementTree.fromstring(re.sub(r"<!DOCTYPE[^>\[]*(\[[^\]]*\])?>", "", xml).encode())
-                    for name, tag in SUBTREES[int(version)].items():
-                        node = root.find(tag)
-                        found[name] = None if node is None else ElementTree.tostring(node, encoding="unicode")
-                except ElementTree.ParseError as e:
-                    error = str(e)
-                for name in SUBTREES[4]:
-                    out[name].append(found.get(name))
-                out["error"].append(error)
-            yield batch.assign(**out)
-
-    return rows.mapInPandas(run, T.StructType(list(rows.schema.fields)).add("abstract_xml", "string").add("description_xml", "string").add("claims_xml", "string").add("error", "string"))
-
-
 def parsed_documents(raw: DataFrame) -> DataFrame:
-    """Every document, with its text fields or with the `error` of the parser."""
-    return _subtrees(raw.withColumn("xml", clean_xml(F.col("xml"))))
+    """Every document, by one parse, with the texts of all its fields and its text fields as XML, or with the
+    `error` of the parser."""
+    return read_fields(raw.withColumn("xml", clean_xml(F.col("xml"))), PATHS, SUBTREES)
 
 
 def rejected(raw: DataFrame) -> DataFrame:
@@ -131,8 +104,10 @@ def rejected(raw: DataFrame) -> DataFrame:
 
 
 def fields(raw: DataFrame, version: int) -> DataFrame:
-    """The values of every field of documents (doc_id, xml) in one schema version; arrays or null."""
-    return raw.select("doc_id", *[values(_texts(path), name in SQUEEZED).alias(name) for name, path in PATHS[version].items()])
+    """The values of every field of documents (doc_id, xml) in one schema version, as arrays or null, and its text
+    fields as XML.  A document that cannot be parsed has nulls."""
+    found = read_fields(raw.select("doc_id", "xml", F.lit(version).alias("dtd_version")), PATHS, SUBTREES)
+    return found.select("doc_id", *[values(F.col(name), name in SQUEEZED).alias(name) for name in PATHS[version]], *SUBTREES[version])
 
 
 def json_values(rows: DataFrame, column: str, *keep: str) -> DataFrame:
@@ -143,10 +118,7 @@ def json_values(rows: DataFrame, column: str, *keep: str) -> DataFrame:
 def patents(raw: DataFrame) -> DataFrame:
     """P1-P15 over raw documents (path, year, seq, dtd_version, xml): one row for each complete patent."""
     parsed = parsed_documents(raw).where("error is null")
-    columns = []
-    for name in PATHS[4]:
-        one = F.when(F.col("dtd_version") == 4, _texts(PATHS[4][name])).otherwise(_texts(PATHS[2][name]))
-        columns.append(values(one, name in SQUEEZED).alias(name))
+    columns = [values(F.col(name), name in SQUEEZED).alias(name) for name in PATHS[4]]
     rows = parsed.select("path", "seq", "dtd_version", *SUBTREES[4], *columns)
     rows = rows.where((F.col("dtd_version") == 4) | valid_version_2(F.col("classification_ipc")))
     last_first = F.when(F.col("dtd_version") == 4, chunk_inventors(F.col("inventors"), True)).otherwise(chunk_inventors(F.col("inventors"), False))

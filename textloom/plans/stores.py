@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import extract
 from ..sources import collection, zips
 from ..sources.stores import scratch
 from ..streaming import ingest, keyed
@@ -65,3 +66,77 @@ def q_stream_state(spark: SparkSession, d: str) -> DataFrame:
         events.where(part == number).write.mode("append").parquet(f"{base}/landing")
         keyed.upsert(ingest.landing(spark, f"{base}/landing", events.schema), "user_id", ["ts", "event_id"], f"{base}/changes", f"{base}/checkpoint").awaitTermination()
     return keyed.current(spark, f"{base}/checkpoint", events.schema).select("user_id", "event_id", "event_type")
+
+
+# ---- all fields of documents in XML
+
+#: What the documents hold beside the fields of `runs`: opening tags, value in SQL, closing tags.
+_WHOLE_4 = [
+    ("<us-patent-grant><us-bibliographic-data-grant><publication-reference><document-id><country>", "lang", "</country>"),
+    ("<doc-number>", "'A' || doc_id", "</doc-number></document-id></publication-reference>"),
+    ("<classification-national><main-classification>", "'4 ' || doc_id", "</main-classification></classification-national>"),
+    ("<classifications-ipcr><classification-ipcr><section>A</section><class>01</class><main-group>", "doc_id", "</main-group><other>no</other></classification-ipcr>"),
+    ("<x><classification-ipcr><subclass>", "lang", "</subclass></classification-ipcr></x></classifications-ipcr>"),
+    ("<us-references-cited><us-citation><patcit><document-id><doc-number>", "'R ' || doc_id", "</doc-number></document-id></patcit></us-citation></us-references-cited>"),
+    ("<references-cited><y><citation><patcit><document-id><doc-number>", "'Q ' || doc_id", "</doc-number></document-id></patcit></citation></y></references-cited>"),
+    ("<z><classification-national><main-classification>", "'7 ' || doc_id", "</main-classification></classification-national></z>"),
+    ("<us-parties><us-applicants><us-applicant><addressbook><last-name>", "source", "</last-name><first-name>F</first-name></addressbook></us-applicant></us-applicants></us-parties>"),
+    ("<parties><applicants><w><applicant><addressbook><address><city>", "'in ' || lang", "</city><street>no</street></address><country>C</country></addressbook></applicant></w></applicants></parties></us-bibliographic-data-grant>"),
+    ("<abstract id=\"a\"><p>", "lang", "<b>!</b></p><br /></abstract>"),
+    ("<description><p>", "source", "</p></description><abstract>second</abstract><claims><claim>1</claim></claims></us-patent-grant>"),
+]
+_WANTED_4 = {
+    "patent_country": "lang",
+    "patent_doc_number": "'A' || doc_id",
+    "patent_kind": "''",
+    "classification_national_main": "'4' || doc_id",
+    "classification_ipc": "'A|01|' || doc_id || '|' || lang",
+    "references_cited": "'R' || doc_id || '|Q' || doc_id",
+    "us_field_of_search": "'4' || doc_id || '|7' || doc_id",
+    "inventors": "source || '|F|in ' || lang || '|C'",
+    "abstract_xml": "'<abstract id=\"a\"><p>' || lang || '<b>!</b></p><br /></abstract>'",
+    "description_xml": "'<description><p>' || source || '</p></description>'",
+    "claims_xml": "'<claims><claim>1</claim></claims>'",
+}
+_WHOLE_2 = [
+    ("<PATDOC><SDOBI><B100><B110><DNUM><PDAT>", "'A' || doc_id", "</PDAT></DNUM></B110><B190><PDAT>US</PDAT></B190></B100>"),
+    ("<B500><B510><B511><PDAT>", "'A01B ' || doc_id", "</PDAT></B511><v><B512><PDAT>H02</PDAT></B512></v></B510>"),
+    ("<B580><B582><PDAT>", "'6 ' || doc_id", "</PDAT><deep><er>7 7</er></deep></B582></B580></B500>"),
+    ("<B700><B720><B721><PARTY-US><NAM><FNM>", "lang", "</FNM><SNM><STEXT>S</STEXT></SNM></NAM></PARTY-US></B721></B720></B700></SDOBI>"),
+    ("<SDOAB><BTEXT><PARA><PTEXT><PDAT>", "source", "</PDAT></PTEXT></PARA></BTEXT></SDOAB><SDODE><p>d</p></SDODE>"),
+    ("<SDOCL><p>", "doc_id", "</p></SDOCL></PATDOC>"),
+]
+_WANTED_2 = {
+    "patent_country": "'US'",
+    "application_doc_number": "'A' || doc_id",
+    "classification_ipc": "'A01B' || doc_id || '|H02'",
+    "us_field_of_search": "'6' || doc_id || '|77'",
+    "inventors": "lang || '|S'",
+    "invention_title": "source",
+    "references_cited": "''",
+    "abstract_xml": "'<SDOAB><BTEXT><PARA><PTEXT><PDAT>' || source || '</PDAT></PTEXT></PARA></BTEXT></SDOAB>'",
+    "description_xml": "'<SDODE><p>d</p></SDODE>'",
+    "claims_xml": "'<SDOCL><p>' || doc_id || '</p></SDOCL>'",
+}
+
+
+def _whole(spark: SparkSession, d: str, version: int, parts: list, wanted: dict) -> DataFrame:
+    xml = F.concat(*[F.concat(F.lit(a), F.expr(v).cast("string"), F.lit(z)) for a, v, z in parts])
+    found = extract.fields(docs(spark, d).select("doc_id", xml.alias("xml")), version)
+    return found.select("doc_id", *[F.col(f) if f.endswith("_xml") else F.coalesce(F.array_join(f, "|"), F.lit("")).alias(f) for f in wanted])
+
+
+def _whole_sql(wanted: dict) -> str:
+    return "SELECT doc_id, " + ", ".join(f"{v} AS {f}" for f, v in wanted.items()) + " FROM documents"
+
+
+@query("q_one_pass_v4", _whole_sql(_WANTED_4))
+def q_one_pass_v4(spark: SparkSession, d: str) -> DataFrame:
+    """Fields, unions, descendants and text fields of documents of version 4, by one parse."""
+    return _whole(spark, d, 4, _WHOLE_4, _WANTED_4)
+
+
+@query("q_one_pass_v2", _whole_sql(_WANTED_2))
+def q_one_pass_v2(spark: SparkSession, d: str) -> DataFrame:
+    """The same for version 2."""
+    return _whole(spark, d, 2, _WHOLE_2, _WANTED_2)
