@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract
+from ..operators import extract, variants
 from ..sources import collection, zips
 from ..sources.stores import scratch
 from ..streaming import ingest, keyed
@@ -140,3 +140,29 @@ def q_one_pass_v4(spark: SparkSession, d: str) -> DataFrame:
 def q_one_pass_v2(spark: SparkSession, d: str) -> DataFrame:
     """The same for version 2."""
     return _whole(spark, d, 2, _WHOLE_2, _WANTED_2)
+
+
+# ---- JSON
+
+_NESTED = """to_json(named_struct('id', doc_id, 'meta', named_struct('lang', lang, 'origin', named_struct('source', source, 'even', doc_id % 2 = 0)),
+  'size', length(text), 'half', doc_id / 2.0, 'words', slice(split(text, ' '), 1, 2), 'odd', if(doc_id % 2 = 1, doc_id, null)))"""
+
+
+@query(
+    "q_variant_fields",
+    "SELECT doc_id, doc_id AS id, lang AS meta_lang, source AS meta_origin_source, doc_id % 2 = 0 AS meta_origin_even, length(coalesce(text, ''))::BIGINT AS size, round(doc_id / 2, 3)::DOUBLE AS half, "
+    "array_to_string(string_split(coalesce(text, ''), ' ')[:2], '|') AS words, CASE WHEN doc_id % 2 = 1 THEN doc_id END AS odd FROM documents",
+)
+def q_variant_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Nested JSON of every document, its schema by aggregation, each value in its type."""
+    rows = variants.parsed(docs(spark, d).select("doc_id", F.expr(_NESTED).alias("json")), "json")
+    found = variants.typed(rows, "doc_id")
+    return found.select("doc_id", "id", "meta_lang", "meta_origin_source", "meta_origin_even", "size", F.round("half", 3).alias("half"), F.array_join("words", "|").alias("words"), "odd")
+
+
+@query("q_variant_entries", "SELECT key, count(*) AS n, count(DISTINCT event_id) AS n_events, min(json_extract_string(props, '$.\"' || key || '\"')) AS first FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) GROUP BY key")
+def q_variant_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of JSON objects whatever their keys."""
+    rows = variants.entries(variants.parsed(table(spark, d, "events").select("event_id", "props"), "props"), "event_id")
+    text = F.col("entry").cast("string")
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_events"), F.min(text).alias("first"))
