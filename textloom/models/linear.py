@@ -1,4 +1,11 @@
-"""One-vs-rest linear SVMs over features (doc_id, features) and labels (doc_id, label)."""
+"""One-vs-rest linear SVMs over sparse features (doc_id, indices, values) and labels (doc_id, label).
+
+The hinge loss is minimised by distributed dual coordinate ascent (Jaggi et al., "Communication-Efficient Distributed Dual
+Coordinate Ascent", 2014): every row has a dual variable for each label, which travels with the row, and a task improves
+those of its own rows against the shared weights.  What all tasks find is added up and taken as far as the dual objective
+rises, which is a quadratic along that line, so that the sum is safe and no smaller than an average.  The gap between the
+primal and the dual value says how far the optimum can be.
+"""
 
 from __future__ import annotations
 
@@ -6,68 +13,131 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stores import kept
+
 Models = dict[str, tuple[list[float], float]]
+_STATE = "label int, indices array<int>, values array<double>, y array<int>, a array<double>, da array<double>"
+#: Products that are held at once when rows are scored.
+HELD = 2_000_000
+#: Rows that a task has at least: the fewer tasks, the fewer rounds.
+ROWS_A_TASK = 5_000
+
 
+def dense(rows: DataFrame, column: str) -> DataFrame:
+    """(doc_id, indices, values) of an array of numbers for each row."""
+    return rows.select("doc_id", F.transform(column, lambda x, i: i).alias("indices"), F.col(column).cast("array<double>").alias("values"))
 
-def fit(features: DataFrame, doc_labels: DataFrame, labels: list[str], reg: float = 0.001, passes: int = 10, balanced: bool = False, seed: int = 1234) -> Models:
-    """Label -> (coefficients, intercept), by stochastic subgradient steps on the hinge loss.
 
-    All labels learn in one scan: in each pass every partition goes over its own shuffled rows from the shared
-    weights, and the partitions' weights are averaged by their rows, one group for each label."""
+def _ascent(shared, labels: int, reg: float, n: int, local: int, costs: tuple, seed: int):
+    """One round over the rows of a task, a batch at a time: `local` passes over each batch in random order.  Gives the
+    rows with their dual variables and the change that is found for them, the change of the weights, and sums: of the
+    losses and the dual variables at the start, and of their changes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start, taken, number = shared.value
+        here, rng = start.copy(), np.random.default_rng(seed + number)
+        loss, alphas, gains, some = np.zeros(labels), np.zeros(labels), np.zeros(labels), False
+        bias = np.array([len(start) - 1])
+        for batch in batches:
+            some = some or len(batch) > 0
+            rows = [(np.concatenate([i, bias]), np.append(v, 1.0)) for i, v in zip(batch["indices"], batch["values"], strict=True)]
+            y = [np.asarray(v) * 2 - 1 for v in batch["y"]]
+            before = [v + taken * d for v, d in zip(batch["a"], batch["da"], strict=True)]
+            a = [v.copy() for v in before]
+            cost = [np.where(v > 0, *costs) for v in y]
+            for (i, v), own, dual, c in zip(rows, y, a, cost, strict=True):
+                loss += c * np.maximum(0, 1 - own * (v @ start[i]))
+                alphas += dual
+            for _ in range(local):
+                for k in rng.permutation(len(rows)):
+                    (i, v), own = rows[k], y[k]
+                    moved = np.clip(a[k] + (1 - own * (v @ here[i])) * reg * n / (v @ v), 0, cost[k]) - a[k]
+                    if moved.any():
+                        here[i] += np.outer(v, moved * own / (reg * n))
+                        a[k] = a[k] + moved
+            found = [v - w for v, w in zip(a, before, strict=True)]
+            gains += sum(found, np.zeros(labels))
+            yield batch.assign(a=before, da=found)
+        if some:
+            change = here - start
+            touched = np.flatnonzero(change.any(axis=1)).astype(np.int32)
+            every = np.arange(labels, dtype=np.int32)
+            told = [(k, touched, change[touched, k]) for k in range(labels)] + [(labels, every, loss), (labels + 1, every, alphas), (labels + 2, every, gains)]
+            yield pd.DataFrame({"label": [t[0] for t in told], "indices": [t[1] for t in told], "values": [t[2] for t in told], "y": None, "a": None, "da": None})
+
+    return run
+
+
+def fit(features: DataFrame, doc_labels: DataFrame, labels: list[str], reg: float = 0.001, rounds: int = 20, local: int = 20, balanced: bool = False, tolerance: float = 0.005, seed: int = 1234, rows_a_task: int = ROWS_A_TASK) -> Models:
+    """Label -> (coefficients, intercept): reg / 2 * |w|^2 + mean hinge loss, the intercept a weight like others.
+
+    All labels learn in one scan of a round.  Rounds end when no label's objective can be above its optimum by more than
+    `tolerance` of it, or after `rounds`.  A row's state is its features and a number for each label; the weights, labels
+    x features, are what the driver holds.  Rows without features learn the intercept only; without rows all weights are 0."""
     names = F.array_intersect(F.collect_set("label"), F.array(*[F.lit(x) for x in labels]))
     own = doc_labels.groupBy("doc_id").agg(names.alias("own"))
     truth = F.transform(F.array(*[F.lit(x) for x in labels]), lambda x: F.coalesce(F.array_contains("own", x), F.lit(False)).cast("int"))
-    rows = features.select("doc_id", vector_to_array("features").alias("x")).join(own, "doc_id", "left").select("x", truth.alias("y")).persist()
-    try:
-        share = rows.agg(*[F.avg(F.col("y")[i]).alias(f"s{i}") for i in range(len(labels))]).first()
-        share = np.clip([s or 0.5 for s in share], 1e-6, 1 - 1e-6)
-        costs = (0.5 / share, 0.5 / (1 - share)) if balanced else (np.ones(len(labels)), np.ones(len(labels)))
-        first = rows.select(F.size("x").alias("n")).first()
-        weights = np.zeros((len(labels), (first["n"] if first else 0) + 1))
-        for number in range(passes):
-            shared = rows.sparkSession.sparkContext.broadcast((weights, number))
-
-            def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-                (w, number), n, rng = shared.value, 0, np.random.default_rng(seed)
-                w = w.copy()
-                for batch in batches:
-                    x, y = np.stack(batch["x"].to_numpy()), np.stack(batch["y"].to_numpy()) * 2 - 1
-                    for i in rng.permutation(len(x)):
-                        n += 1
-                        step = 1 / (reg * (1 / reg + n + number * len(x)))
-                        wrong = y[i] * (w[:, :-1] @ x[i] + w[:, -1]) < 1
-                        change = np.where(wrong, y[i] * np.where(y[i] > 0, *costs), 0.0) * step
-                        w[:, :-1] = w[:, :-1] * (1 - step * reg) + np.outer(change, x[i])
-                        w[:, -1] += change
-                if n:
-                    yield pd.DataFrame({"label": np.arange(len(w)), "n": n, "w": list(w)})
-
-            def mean(part: pd.DataFrame) -> pd.DataFrame:
-                return pd.DataFrame({"label": part["label"][:1], "w": [np.average(np.stack(part["w"].to_numpy()), axis=0, weights=part["n"])]})
-
-            sent = rows.mapInPandas(run, "label int, n long, w array<double>")
-            for r in sent.groupBy("label").applyInPandas(mean, "label int, w array<double>").collect():  # a row for each label
-                weights[r["label"]] = r["w"]
-    finally:
-        rows.unpersist()
-    return {name: (w[:-1].tolist(), float(w[-1])) for name, w in zip(labels, weights, strict=True)}
+    none = F.array_repeat(F.lit(0.0), len(labels))
+    rows = features.join(own, "doc_id", "left").select(F.lit(-1).alias("label"), F.col("indices").cast("array<int>").alias("indices"), F.col("values").cast("array<double>").alias("values"), truth.alias("y"), none.alias("a"), none.alias("da"))
+    rows = kept(rows, "duals")
+    told = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("indices")).alias("most"), *[F.avg(F.col("y")[i]).alias(f"s{i}") for i in range(len(labels))]).first()
+    n, size = told["n"], (told["most"] if told["most"] is not None else -1) + 1
+    weights, taken = np.zeros((size + 1, len(labels))), np.zeros(len(labels))
+    best, lowest = weights.copy(), np.full(len(labels), np.inf)  # the primal value need not fall in each round
+    share = np.clip([told[f"s{i}"] or 0.5 for i in range(len(labels))], 1e-6, 1 - 1e-6)
+    costs = (0.5 / share, 0.5 / (1 - share)) if balanced else (np.ones(len(labels)), np.ones(len(labels)))
+    for number in range(rounds if n else 0):
+        shared = rows.sparkSession.sparkContext.broadcast((weights, taken, number))
+        step = _ascent(shared, len(labels), reg, n, local, costs, seed)
+        rows = rows.coalesce(max(1, -(-n // rows_a_task)))
+        written = kept(rows.mapInPandas(step, _STATE), "duals")
+        pairs = written.where("label >= 0").select("label", F.inline(F.arrays_zip(F.col("indices").alias("at"), F.col("values").alias("v"))))
+        sums = pairs.groupBy("label", "at").agg(F.sum("v").alias("v")).toPandas()  # as large as the weights
+        loss, alphas, gains = (sums[sums["label"] == len(labels) + k].sort_values("at")["v"].to_numpy() for k in range(3))
+        norm = reg / 2 * (weights**2).sum(axis=0)
+        primal, dual = norm + loss / n, alphas / n - norm  # of the weights as the round began
+        better = primal < lowest
+        best[:, better], lowest[better] = weights[:, better], primal[better]
+        if (lowest - dual <= tolerance * lowest).all():
+            break
+        change = sums[sums["label"] < len(labels)]
+        line = np.zeros_like(weights)
+        line[change["at"].to_numpy(), change["label"].to_numpy()] = change["v"].to_numpy()
+        rise, bend = gains / n - reg * (weights * line).sum(axis=0), reg * (line**2).sum(axis=0)
+        taken = np.clip(np.divide(rise, bend, out=np.zeros_like(rise), where=bend > 0), 0, 1)
+        weights = weights + taken * line
+        rows = written.where("label < 0")
+    return {name: (best[:-1, k].tolist(), float(best[-1, k])) for k, name in enumerate(labels)}
 
 
 def scores(features: DataFrame, models: Models) -> DataFrame:
-    """(doc_id, label_id, label, y_score, y_pred), margins as matrix products of Arrow batches; positive above 0."""
-    names, matrix = list(models), np.array([[*w, b] for w, b in models.values()])
+    """(doc_id, label_id, label, y_score, y_pred), margins as sums over the features that a row has; positive above 0.
+    A feature that no model knows counts for nothing."""
+    names, matrix = list(models), np.array([[*w, b] for w, b in models.values()]).T
     shared = features.sparkSession.sparkContext.broadcast(matrix)
 
+    def margins(batch: pd.DataFrame, w: np.ndarray) -> np.ndarray:
+        sizes = np.array([len(i) for i in batch["indices"]], np.int64)
+        out = np.repeat(w[-1:], len(batch), axis=0)
+        at, values = (np.concatenate(list(batch[c])) if len(batch) else np.zeros(0) for c in ("indices", "values"))
+        row = np.repeat(np.arange(len(batch)), sizes)
+        known = at < len(w) - 1
+        at, values, row = at[known].astype(np.int64), values[known], row[known]
+        if len(at):
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            out[row[first]] += np.add.reduceat(w[at] * values[:, None], first, axis=0)
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                margins = np.stack(batch["x"].to_numpy()) @ shared.value[:, :-1].T + shared.value[:, -1]
-                yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), len(names)), "label_id": np.tile(np.arange(len(names)), len(batch)), "y_score": margins.ravel()})
+            ends = np.cumsum([len(i) * len(names) for i in batch["indices"]]) // HELD
+            for _, part in batch.groupby(ends, sort=False) if len(batch) else []:
+                found = margins(part, shared.value)
+                yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), len(names)), "label_id": np.tile(np.arange(len(names)), len(part)), "y_score": found.ravel()})
 
-    rows = features.select("doc_id", vector_to_array("features").alias("x")).mapInPandas(run, "doc_id long, label_id int, y_score double")
+    rows = features.select("doc_id", "indices", "values").mapInPandas(run, "doc_id long, label_id int, y_score double")
     label = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("label_id") + 1)
     return rows.select("doc_id", "label_id", label.alias("label"), "y_score", (F.col("y_score") > 0).cast("int").alias("y_pred"))

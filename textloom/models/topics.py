@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.stores import scratch
 
-def vectors(weighed: DataFrame, size: int, scheme: str = "tf") -> DataFrame:
-    """(doc_id, features): dense vectors over `size` term ids."""
-    pairs = weighed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term_id", F.col(scheme).alias("w")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return pairs.select("doc_id", array_to_vector(dense).alias("features"))
+
+def pairs(weighed: DataFrame, scheme: str = "tf") -> DataFrame:
+    """(doc_id, indices, values): the term ids of a document in order, and their weights that are not 0."""
+    listed = F.array_sort(F.collect_list(F.when(F.col(scheme) != 0, F.struct(F.col("term_id").cast("int").alias("i"), F.col(scheme).cast("double").alias("w")))))
+    rows = weighed.groupBy("doc_id").agg(listed.alias("p"))
+    return rows.select("doc_id", F.transform("p", lambda x: x["i"]).alias("indices"), F.transform("p", lambda x: x["w"]).alias("values"))
+
+
+def vectors(sparse: DataFrame, size: int) -> DataFrame:
+    """(doc_id, features): sparse vectors over `size` features, of (doc_id, indices, values).
+
+    A vector is stored as the struct that it is read from, so that files hold what is not 0 and no row passes Python."""
+    spark, path = sparse.sparkSession, scratch(sparse.sparkSession, "vectors")
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("indices").cast("array<int>").alias("indices"), F.col("values").cast("array<double>").alias("values"))
+    sparse.select("doc_id", parts.alias("features")).write.parquet(path)
+    return spark.read.schema(T.StructType([sparse.schema["doc_id"], T.StructField("features", VectorUDT())])).parquet(path)
 
 
 def fit(features: DataFrame, topics: int = 1000, passes: int = 50, batch: int = 4096, decay: float = 0.5, seed: int = 1234) -> LDAModel:

@@ -13,7 +13,7 @@ from ..models import linear, topics, trials
 from ..operators import extract, labels, parts
 from ..sources import archive, stores
 from .catalog import _DIM, _LEVELS, _SPLIT, _WORDED, _WORDS, docs, order_labels, query, sequences, table, three_fields
-from .models import TRAINING_ROWS, _arrays, _features, training_rows
+from .models import SIZE, TRAINING_ROWS, _arrays, _features, training_rows
 
 # ---- sources and sinks
 
@@ -182,7 +182,8 @@ def q_label_matrices(spark: SparkSession, d: str) -> DataFrame:
 
 def _topic_rows(spark: SparkSession, d: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents, and their topics by a model that is written and read again under its name."""
-    own, features = _features(spark, d)
+    own, found = _features(spark, d)
+    features = topics.vectors(found, SIZE)
     where = f"{path or stores.scratch(spark, 'topics')}/{topics.name('bm25', 8, 5, 0.5)}"
     topics.save(topics.fit(features, topics=8, passes=5, batch=256), where)
     return own, stores.kept(topics.transform(topics.load(where), features), "topics")
@@ -193,7 +194,7 @@ def q_topics_svm(spark: SparkSession, d: str) -> DataFrame:
     """One-vs-rest classifiers of languages on topics."""
     own, found = _topic_rows(spark, d)
     names = sorted(r["lang"] for r in own.where("lang IS NOT NULL").select("lang").distinct().collect())  # the label dimension
-    features = found.select("doc_id", topics.array_to_vector("topics").alias("features"))
+    features = linear.dense(found, "topics")
     return linear.scores(features, linear.fit(features, own.select("doc_id", F.col("lang").alias("label")), names))
 
 
