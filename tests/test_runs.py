@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.models import neural, pvdm, topics, trials
+from textloom.models import neural, topics, trials
 from textloom.operators import extract, labels, parts
 from textloom.plans import runs
 from textloom.sources import archive, stores
@@ -79,36 +79,6 @@ def test_recurrent_dropout_acts_in_training_only():
     assert not np.array_equal(model.forward(x, training=True)[0], model.forward(x, training=True)[0])
 
 
-def _parts(spark):
-    rows = [(i, level, name, ("a b c d".split() if i % 2 else "d c a a".split()) * 5) for i in range(6) for level, name in ((1, None), (2, "claims"))]
-    return spark.createDataFrame(rows, "key long, level int, part_name string, tokens array<string>")
-
-
-def test_paragraph_vectors_go_on_after_the_last_epoch(spark, tmp_path):
-    turns = _parts(spark).where("level = 1").repartition(1).persist()
-    words = pvdm.vocabulary(turns, 1)
-    build = lambda: pvdm.PVDM(words, size=5, negative=2)
-    whole = pvdm.train(turns, build(), epochs=3, path=f"{tmp_path}/whole")
-    pvdm.train(turns, build(), epochs=2, path=f"{tmp_path}/cut")
-    (tmp_path / "cut" / "epoch=2").mkdir()  # an epoch that was not finished
-    again = pvdm.train(turns, build(), epochs=3, path=f"{tmp_path}/cut")
-    assert np.allclose(whole.words_in, again.words_in) and np.allclose(whole.words_out, again.words_out)
-    fresh = build()
-    assert pvdm.resume(spark, fresh, f"{tmp_path}/cut") == 3 and np.allclose(fresh.words_in, whole.words_in)
-
-
-def test_each_selection_has_a_model_and_is_trained_once(spark, tmp_path, monkeypatch):
-    own = _parts(spark)
-    build = lambda words: pvdm.PVDM(words, size=4, negative=2)
-    counted = pvdm.vocabulary
-    monkeypatch.setattr(pvdm, "vocabulary", lambda rows: counted(rows, 1))
-    got = {s: pvdm.train_selection(own, *s, str(tmp_path), build, epochs=1, longest=3) for s in ((1, None), (2, "claims"))}
-    assert all(sorted(r["key"] for r in rows.collect()) == list(range(6)) for rows in got.values())
-    monkeypatch.setattr(pvdm, "vocabulary", lambda rows: pytest.fail("learned again"))
-    again = pvdm.train_selection(own, 2, "claims", str(tmp_path), build)
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got[2, "claims"].collect()))
-
-
 def test_slots_of_all_levels(spark):
     found = {n: parts.slots(n) for n in (1, 2, 3)}
     assert [len(found[n]) for n in (1, 2, 3)] == [1, 4, 34]

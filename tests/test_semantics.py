@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.models import neural, pvdm, trials
+from textloom.models import neural, trials
 from textloom.operators import extract, labels, metrics, parts, passages
 from textloom.operators import postings as P
 from textloom.sources import archive
@@ -209,11 +209,6 @@ def test_training_lowers_the_loss():
     assert history[-1]["val_loss"] < 0.6 * history[0]["val_loss"]
 
 
-def test_paragraph_vectors_repeat():
-    model = pvdm.PVDM([("a", 10), ("b", 5), ("c", 5)], size=8)
-    assert (model.infer(list("abcab"), 3) == model.infer(list("abcab"), 3)).all() and model.infer([], 1).shape == (8,)
-
-
 def test_trials_are_seeded():
     assert trials.draws(trials.LSTM_GRID, 10) == trials.draws(trials.LSTM_GRID, 10) and len(trials.draws(trials.LSTM_GRID, 99)) == 24
 

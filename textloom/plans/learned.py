@@ -1,12 +1,14 @@
-"""Queries of sentence boundaries that are learned from the texts."""
+"""Queries of what is learned from the texts: sentence boundaries, and paragraph vectors of all levels and fields."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boundaries
-from .catalog import docs, query
+from ..models import pvdm
+from ..operators import boundaries, parts
+from ..sources import stores
+from .catalog import _LEVELS, _WORDED, docs, query, three_fields
 
 _ABBREVIATIONS = r"""
 WITH core AS (SELECT trim(unnest(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')), '"''()[]{}“”‘’') AS c FROM documents),
@@ -45,3 +47,26 @@ def q_learned_sentences(spark: SparkSession, d: str) -> DataFrame:
     cut = boundaries.sentences_of(rows, "doc_id", boundaries.learn(rows))
     held = cut.select("doc_id", F.size("sentences").alias("n_raw"), enforce_length(F.col("sentences")).alias("s"))
     return held.select("doc_id", "n_raw", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
+
+
+_LEVEL_WORDS = f"""WITH {_WORDED}, {_LEVELS}, each AS (SELECT len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM worded),
+fields AS (SELECT part_name, word FROM (SELECT word, CASE WHEN n < 3 OR pos <= n // 3 THEN 1 WHEN pos <= 2 * (n // 3) THEN 2 ELSE 3 END AS third FROM each) JOIN names USING (third))
+SELECT 1::INT AS level, NULL::VARCHAR AS part_name, word, count(*) AS n FROM each GROUP BY word HAVING count(*) >= 100
+UNION ALL SELECT level::INT, part_name, word, count(*) FROM fields, (VALUES (2), (3)) l(level) GROUP BY ALL HAVING count(*) >= 100"""
+
+
+@query("q_level_words", _LEVEL_WORDS)
+def q_level_words(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary of each of the seven models, all of its words that occur 100 times."""
+    own = pvdm.selected(parts.level_parts(three_fields(spark, d)))
+    level, name = (F.array(*[F.lit(s[i]) for s in pvdm.SELECTIONS])[F.col("model")] for i in (0, 1))
+    return pvdm.counts(own, pvdm.Settings().min_count).select(level.alias("level"), name.alias("part_name"), "word", "n")
+
+
+@query("q_level_vectors")
+def q_level_vectors(spark: SparkSession, d: str, settings: pvdm.Settings = pvdm.Settings()) -> DataFrame:
+    """Vectors of all parts of all levels and fields, by seven models that learn side by side."""
+    own = stores.kept(pvdm.selected(parts.level_parts(three_fields(spark, d))), "parts")
+    model = pvdm.train(own, stores.scratch(spark, "pvdm"), settings)
+    found = pvdm.vectors(own, model, f"{model.path}/inferred")
+    return own.select("model", "key", "doc_id", "level", "part_name", "part_no").join(found, ["model", "key"]).drop("model", "key")
