@@ -25,6 +25,26 @@ def _heaviest(template, words, idf):
     return row[-1]
 
 
+def _stands(phrase, words):
+    return f" {' '.join(_words(phrase))} " in f" {' '.join(words)} "
+
+
+def _lost(label, template, weight, words, low, idf):
+    """Whether a larger licence that has the template's words with others between them explains more of the place."""
+    whole = sum(idf[w] for w in template)
+    for other, passage, keys in license_scan.LICENCES:
+        larger = _words(passage)
+        if other == label or sum(idf[w] for w in larger) <= whole or _stands(" ".join(template), larger):
+            continue
+        if _heaviest(template, larger, idf) < license_scan.COVERAGE * whole:
+            continue
+        here = words[low : low + 2 * license_scan.DRIFT + len(larger)]
+        reached = _heaviest(larger, here, idf)
+        if reached >= license_scan.COVERAGE * sum(idf[w] for w in larger) and all(_stands(k, here) for k in keys) and reached > weight + 1e-9:
+            return True
+    return False
+
+
 def _expected_row(doc_id, text, idf):
     words = _words(text)
     base = [(p, label) for label, phrase in license_scan.PHRASES.items() for p in range(len(words)) if words[p : p + len(phrase.split())] == phrase.split()]
@@ -38,7 +58,7 @@ def _expected_row(doc_id, text, idf):
             low = max(0, strip * drift)
             here = words[low : max(low, (strip + 2) * drift + len(template))]
             covered = min(1.0, _heaviest(template, here, idf) / whole)
-            if covered >= license_scan.COVERAGE and all(f" {' '.join(_words(k))} " in f" {' '.join(here)} " for k in keys):
+            if covered >= license_scan.COVERAGE and all(_stands(k, here) for k in keys) and not _lost(label, template, covered * whole, words, low, idf):
                 found[label] = max(found.get(label, 0.0), covered)
     starts, names = [p for p, _ in base], {x for _, x in base}
     score = 1.0 if base else max(found.values(), default=0.0)
@@ -76,6 +96,43 @@ def test_altered_passages_by_brute_force(spark):
     assert got == _expected(rows)
 
 
+def _weights():
+    rng = random.Random(9)
+    yield {w: 1.0 for w in license_scan.template_words()}
+    for _ in range(6):
+        yield {w: 1 + 9 * rng.random() for w in license_scan.template_words()}
+
+
+def test_each_passage_has_its_own_label_and_those_of_its_parts():
+    texts = [(label, _words(text)) for label, text, _ in license_scan.LICENCES]
+    for idf in _weights():
+        index = license_scan.LicenseIndex({w: x for w, x in idf.items()})
+        for label, words in texts:
+            parts = {other for other, part in texts if _stands(" ".join(part), words)}
+            for before, after in ((0, 0), (5, 40), (200, 3)):
+                text = ["x"] * before + words + ["y"] * after
+                found = index.scan([w.encode() for w in text])[1]
+                assert found.keys() == parts and label in found, (label, found)
+
+
+def test_licences_of_two_and_three_clauses_side_by_side():
+    by = {label: _words(text) for label, text, _ in license_scan.LICENCES if label.startswith("bsd-")}
+    for idf in _weights():
+        index = license_scan.LicenseIndex(idf)
+        for order in (("bsd-2-clause", "bsd-3-clause"), ("bsd-3-clause", "bsd-2-clause")):
+            for gap in (0, 1, 7, 15, 40):
+                text = by[order[0]] + ["x"] * gap + by[order[1]]
+                assert index.scan([w.encode() for w in text])[1].keys() == {*order, "bsd"}
+
+
+def test_the_start_of_another_licence_is_no_label():
+    boost = next(_words(text) for label, text, _ in license_scan.LICENCES if label == "bsl-1.0")
+    for idf in _weights():
+        index = license_scan.LicenseIndex(idf)
+        for n in range(10, len(boost)):
+            assert index.scan([w.encode() for w in boost[:n]])[1].keys() <= {"bsl-1.0"}
+
+
 def test_licences_beside_others():
     """A bundle of all passages keeps every label, whatever the words weigh."""
     rng = random.Random(7)

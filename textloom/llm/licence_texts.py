@@ -44,7 +44,7 @@ LICENCES = [
         "notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY,
         ["permission is hereby granted free of charge", "to deal in the software without restriction"],
     ),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge", "software and associated documentation files"]),
     ("mit", "released under the MIT License", ["mit license"]),
     ("mit", "licensed under the MIT License", ["mit license"]),
     ("bsd-2-clause", _BSD_CONDITIONS + " " + _BSD_WARRANTY, ["redistribution and use in source and binary forms", "redistributions in binary form must reproduce the above copyright notice"]),

@@ -6,7 +6,10 @@ Of each template only rare words are indexed, with their positions.  All indexed
 posting votes for the strip of places where the template would have to start, so that postings are intersected by
 relative position, give or take some words put in or left out.  Strips that gather the weight without which COVERAGE is
 out of reach are compared word by word, in order, and a label is given only if the template's key phrases stand there
-word for word.  What a template gets does not depend on what else a file holds.
+word for word.  Where a template is found inside another one that has words in its midst too (a licence of two clauses
+in one of three) and that one is verified over the same place with more weight, only the larger keeps the place; a
+passage that stands in the other without a gap is a part of it and keeps its label.  What a template gets does not depend
+on what a file holds elsewhere.
 """
 
 from __future__ import annotations
@@ -66,8 +69,22 @@ class LicenseIndex:
             # a place that reaches COVERAGE has at least this weight of indexed words
             least = sum(idf[w] for w in words if w in rare) - may_miss - 1e-9
             self.templates.append((label, words, weights, [words_of(k.encode()) for k in keys], whole, least))
+        self.larger = [self._larger(t) for t in range(len(self.templates))]
         self.looked_up = frozenset(self.phrase_anchor) | frozenset(self.postings)
 
+    def _larger(self, t: int) -> list[int]:
+        """Templates of other labels that hold the words of template t in order, but with others between them."""
+        label, words, weights, _, whole, _ = self.templates[t]
+        others = [u for u, x in enumerate(self.templates) if x[0] != label and x[4] > whole and not stands(words, x[1])]
+        return [u for u in others if in_order(words, weights, self.templates[u][1]) >= COVERAGE * whole]
+
+    def _weight(self, t: int, words: list[bytes], low: int) -> float:
+        """The weight of template t in the words from `low` on, 0 if it is not verified there."""
+        _, template, weights, keys, whole, _ = self.templates[t]
+        passage = words[low : low + 2 * DRIFT + len(template)]
+        weight = min(whole, in_order(template, weights, passage))
+        return weight if weight / whole >= COVERAGE and all(stands(k, passage) for k in keys) else 0.0
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """Places of the bare phrases as (start, label), and the best coverage of each label found."""
         present = self.looked_up.intersection(words)
@@ -90,14 +107,13 @@ class LicenseIndex:
                     votes[t, strip] += self.idf[w]
         found: dict[str, float] = {}
         for (t, strip), weight in sorted(votes.items()):
-            label, template, weights, keys, whole, least = self.templates[t]
-            if weight < least or found.get(label, 0.0) >= 1.0:
+            label, template, _, _, whole, least = self.templates[t]
+            low, high = max(0, strip * DRIFT), (strip + 2) * DRIFT + len(template)
+            if weight < least or high <= low or found.get(label, 0.0) >= 1.0:
                 continue
-            low = max(0, strip * DRIFT)
-            passage = words[low : max(low, (strip + 2) * DRIFT + len(template))]
-            covered = min(1.0, in_order(template, weights, passage) / whole)
-            if covered >= COVERAGE and all(stands(k, passage) for k in keys):
-                found[label] = max(found.get(label, 0.0), covered)
+            reached = self._weight(t, words[: max(low, high)], low)
+            if reached and not any(self._weight(u, words, low) > reached + 1e-9 for u in self.larger[t]):
+                found[label] = max(found.get(label, 0.0), reached / whole)
         return base, found
 
 
