@@ -63,8 +63,7 @@ def q_level_words(spark: SparkSession, d: str) -> DataFrame:
     return pvdm.counts(own, pvdm.Settings().min_count).select(level.alias("level"), name.alias("part_name"), "word", "n")
 
 
-@query("q_level_vectors")
-def q_level_vectors(spark: SparkSession, d: str, settings: pvdm.Settings = pvdm.Settings()) -> DataFrame:
+def level_vectors(spark: SparkSession, d: str, settings: pvdm.Settings = pvdm.Settings()) -> DataFrame:
     """Vectors of all parts of all levels and fields, by seven models that learn side by side."""
     own = stores.kept(pvdm.selected(parts.level_parts(three_fields(spark, d))), "parts")
     model = pvdm.train(own, stores.scratch(spark, "pvdm"), settings)
