@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Parts of each field at level 3.
 PART_COUNTS = {"abstract": 3, "description": 23, "claims": 4}
 
@@ -15,28 +17,38 @@ def chunk_of(position: Column, n: Column, parts: int) -> Column:
 
 
 def chunks(tokens: Column, parts: int) -> Column:
-    """An array of `parts` arrays."""
-    size = F.floor(F.size(tokens) / parts).cast("int")
+    """An array of `parts` arrays; the tokens are made once."""
+
+    def cut(t: Column) -> Column:
+        size = F.floor(F.size(t) / parts).cast("int")
 
-    def one(i: Column) -> Column:
-        last = i == parts - 1
-        start = F.when(size == 0, 0).otherwise(i * size)
-        length = F.when(size == 0, F.when(i == 0, F.size(tokens)).otherwise(0)).when(last, F.size(tokens) - start).otherwise(size)
-        return F.slice(tokens, start + 1, length)
+        def one(i: int) -> Column:
+            length = F.when(size == 0, F.size(t) if i == 0 else 0).otherwise(F.size(t) - i * size if i == parts - 1 else size)
+            return F.slice(t, F.lit(i) * size + 1, length)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), one)
+        return F.array(*[one(i) for i in range(parts)])
+
+    return let(tokens, cut)
 
 
 def level_parts(rows: DataFrame) -> DataFrame:
-    """(doc_id, level, part_name, part_no, tokens) of rows (doc_id, abstract, description, claims), token arrays."""
-    one = rows.select("doc_id", F.lit(1).alias("level"), F.lit(None).cast("string").alias("part_name"), F.lit(None).cast("int").alias("part_no"), F.concat(*PART_COUNTS).alias("tokens"))
-    two = rows.select("doc_id", F.lit(2).alias("level"), F.inline(F.array(*[F.struct(F.lit(p).alias("part_name"), F.lit(None).cast("int").alias("part_no"), F.col(p).alias("tokens")) for p in PART_COUNTS])))
-    three = None
-    for name, n in PART_COUNTS.items():
-        own = rows.select("doc_id", F.lit(3).alias("level"), F.lit(name).alias("part_name"), F.posexplode(chunks(F.col(name), n)).alias("part_no", "tokens"))
-        own = own.withColumn("part_no", F.col("part_no") + 1)
-        three = own if three is None else three.unionByName(own)
-    return one.unionByName(two).unionByName(three)
+    """(doc_id, level, part_name, part_no, tokens) of rows (doc_id, abstract, description, claims), token arrays.
+
+    All parts of a document are cut from one reading of its tokens."""
+
+    def part(level: int, name: str | None, no: Column, tokens: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), F.lit(name).cast("string").alias("part_name"), no.cast("int").alias("part_no"), tokens.alias("tokens"))
+
+    def third(name: str, tokens: Column) -> Column:
+        return F.transform(chunks(tokens, PART_COUNTS[name]), lambda t, i: part(3, name, i + 1, t))
+
+    def every(fields: Column) -> Column:
+        own = {name: fields[name] for name in PART_COUNTS}
+        none = F.lit(None)
+        upper = F.array(part(1, None, none, F.concat(*own.values())), *[part(2, name, none, t) for name, t in own.items()])
+        return F.concat(upper, *[third(name, t) for name, t in own.items()])
+
+    return rows.select("doc_id", F.inline(let(F.struct(*PART_COUNTS), every)))
 
 
 def slots(level: int) -> list[tuple[int, str, int, int]]:

@@ -156,7 +156,7 @@ two AS (SELECT DISTINCT doc_id, 0 AS slot, whole AS n FROM thirds UNION ALL SELE
 def q_fhv_levels(spark: SparkSession, d: str) -> DataFrame:
     """H1-H6: sequences of 1, 4 and 34 slots of one-wide vectors, the words of each part; parts without words have none."""
     rows = parts.level_parts(three_fields(spark, d)).where(F.size("tokens") > 0)
-    vectors = rows.select("doc_id", "level", "part_name", "part_no", F.array(F.size("tokens").cast("float")).alias("vec"))
+    vectors = stores.kept(rows.select("doc_id", "level", "part_name", "part_no", F.array(F.size("tokens").cast("float")).alias("vec")), "vectors")
     each = []
     for level in (1, 2, 3):
         filled = parts.sequences_of_level(vectors, level, 1)
