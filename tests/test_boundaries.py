@@ -156,3 +156,20 @@ def test_nothing_to_learn(spark):
     found = boundaries.learn(docs, given=("fig",))
     assert [r["type"] for r in found.abbreviations.collect()] == ["fig"] and found.starters.count() == found.collocations.count() == 0
     assert boundaries.sentences_of(docs, "doc_id", found).count() == 0
+
+
+def test_only_words_that_may_end_a_sentence_are_matched(spark):
+    """The same tokens as by matching every word, line ends behind marks included."""
+    words = ["", "a", "A.", "U.S.", "end..", "end?.", "1.5", "12:30.", "1st", "x.\u2028", "x..\u2028", "x?\x85", "12\u2029", '("Tea.")', ".", "...", "?!", "7,", "\u00e9t\u00e9;", "a.b"]
+    rows = spark.createDataFrame([(i, w + tail) for i, w in enumerate(words) for tail in ("", " ", "\n\x0b\t ")], "k int, w string")
+
+    def plain(piece):
+        c = F.btrim(F.regexp_replace(piece, "[ \\t-\\r]+$", ""), F.lit(boundaries.MARKS_AROUND))
+        kind = F.when(c.rlike("[.][.]$"), "dots").when(c.rlike("[?!][.?!]*$"), "mark").when(c.endswith("."), "period").otherwise("plain")
+        form = F.lower(F.rtrim(F.regexp_replace(c, "([.][.]+|[?!][.?!]*|[.])$", ""), F.lit(boundaries.MARKS_BEHIND)))
+        return kind, F.when(form.rlike("^[0-9][0-9.,:/-]*$"), boundaries.NUMBER).otherwise(form)
+
+    kind, form = plain(F.col("w"))
+    got = rows.withColumn("t", boundaries.token(F.col("w")))
+    assert got.where(~(F.col("t.kind").eqNullSafe(kind) & F.col("t.type").eqNullSafe(form))).collect() == []
+    assert str(boundaries.token(F.col("w"))).count("regexp_replace") == 1

@@ -23,6 +23,8 @@ from ..sources.stores import kept
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 MARKS_AROUND, MARKS_BEHIND = "\"'()[]{}“”‘’", ",;:"
 NUMBER = "##number##"
+#: The last characters of what `$` lets a mark stand before: the marks, and line ends that are no white space of words.
+ENDINGS = ".?!\x85\u2028\u2029"
 PLAIN, PERIOD, DOTS, MARK = "plain", "period", "dots", "mark"
 
 
@@ -32,15 +34,19 @@ def pieces(text: Column) -> Column:
 
 
 def token(piece: Column) -> Column:
-    """(kind, type, case): how a word ends, its lower-cased form without what ends it, and the case of its first letter."""
-    core = F.btrim(F.regexp_replace(piece, "[ \\t-\\r]+$", ""), F.lit(MARKS_AROUND))
+    """(kind, type, case): how a word ends, its lower-cased form without what ends it, and the case of its first letter.
+
+    Few words end as sentences do or begin as numbers do; only those are matched."""
+    core = F.btrim(F.rtrim(piece, F.lit(" \t\n\x0b\f\r")), F.lit(MARKS_AROUND))
 
     def told(c: Column) -> Column:
-        kind = F.when(c.rlike("[.][.]$"), DOTS).when(c.rlike("[?!][.?!]*$"), MARK).when(c.endswith("."), PERIOD).otherwise(PLAIN)
-        form = F.lower(F.rtrim(F.regexp_replace(c, "([.][.]+|[?!][.?!]*|[.])$", ""), F.lit(MARKS_BEHIND)))
+        may_end = (c != "") & F.contains(F.lit(ENDINGS), F.substring(c, -1, 1))
+        kind = F.when(~may_end, PLAIN).when(c.rlike("[.][.]$"), DOTS).when(c.rlike("[?!][.?!]*$"), MARK).when(c.endswith("."), PERIOD).otherwise(PLAIN)
+        form = F.lower(F.rtrim(F.when(may_end, F.regexp_replace(c, "([.][.]+|[?!][.?!]*|[.])$", "")).otherwise(c), F.lit(MARKS_BEHIND)))
         first = F.substring(c, 1, 1)
         case = F.when(F.upper(first) != F.lower(first), F.when(first == F.lower(first), "lower").otherwise("upper")).otherwise("none")
-        return F.struct(kind.alias("kind"), F.when(form.rlike("^[0-9][0-9.,:/-]*$"), NUMBER).otherwise(form).alias("type"), case.alias("case"))
+        typed = let(form, lambda f: F.when(F.substring(f, 1, 1).between("0", "9") & f.rlike("^[0-9][0-9.,:/-]*$"), NUMBER).otherwise(f))
+        return F.struct(kind.alias("kind"), typed.alias("type"), case.alias("case"))
 
     return let(core, told)
 
