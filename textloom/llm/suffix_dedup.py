@@ -51,35 +51,41 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     n = len(symbols)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: symbols[i:].tolist()), np.int64)
-    text = np.zeros(n + 4, np.int64)
+    # places, names and ranks take four bytes where they fit; only keys made of several of them need eight
+    small = np.int32 if max(int(symbols.max()), n + 5) < 2**31 else np.int64
+    text = np.zeros(n + 4, small)
     text[:n] = symbols
     # sampled places; one more past the end if needed, so that places 1 modulo 3 are as many as places 0 modulo 3
-    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
+    ones, twos = np.arange(1, n + (n % 3 == 1), 3, dtype=small), np.arange(2, n, 3, dtype=small)
     sampled = np.concatenate([ones, twos])
     order = _order(text[sampled], text[sampled + 1], text[sampled + 2])
     placed = sampled[order]
     fresh = np.ones(len(placed), bool)
     fresh[1:] = (text[placed[1:]] != text[placed[:-1]]) | (text[placed[1:] + 1] != text[placed[:-1] + 1]) | (text[placed[1:] + 2] != text[placed[:-1] + 2])
-    names = np.empty(len(sampled), np.int64)
-    names[order] = np.cumsum(fresh)
-    if not fresh.all():
+    names = np.empty(len(sampled), small)
+    names[order] = np.cumsum(fresh, dtype=small)
+    single = bool(fresh.all())
+    del ones, twos, fresh  # not held through the recursion
+    if not single:
+        del order, placed
         order = suffix_array(names)  # places 1 modulo 3 first, then places 2 modulo 3
         placed = sampled[order]
-    rank = np.zeros(n + 4, np.int64)
+    del names, sampled, order
+    rank = np.zeros(n + 4, small)
     rank[placed] = np.arange(1, len(placed) + 1)
-    zeros = np.arange(0, n, 3)
+    zeros = np.arange(0, n, 3, dtype=small)
     zeros = zeros[_order(text[zeros], rank[zeros + 1])]
     placed = placed[placed < n]
     one, two = placed[placed % 3 == 1], placed[placed % 3 == 2]
     # how many sampled suffixes come before each of the others: compared by one or two symbols and a known rank
-    most = n + 5
+    most, widest = np.int64(n + 5), np.int64(int(text.max()) + 1)
     before = np.searchsorted(text[one] * most + rank[one + 1], text[zeros] * most + rank[zeros + 1])
-    pairs_two, pairs_zero = (text[x] * (int(text.max()) + 1) + text[x + 1] for x in (two, zeros))
+    pairs_two, pairs_zero = (text[x] * widest + text[x + 1] for x in (two, zeros))
     if len(pairs_two) and max(int(pairs_two.max()), int(pairs_zero.max())) * most >= 2**62:
         named = np.unique(np.concatenate([pairs_two, pairs_zero]), return_inverse=True)[1]
         pairs_two, pairs_zero = named[: len(two)], named[len(two) :]
     before = before + np.searchsorted(pairs_two * most + rank[two + 2], pairs_zero * most + rank[zeros + 2])
-    out = np.empty(n, np.int64)
+    out = np.empty(n, small)
     at = np.arange(len(zeros)) + before
     out[at] = zeros
     rest = np.ones(n, bool)
@@ -108,7 +114,7 @@ def repeated_starts(regions: list[bytes], ids: np.ndarray, hashes: np.ndarray, a
     valid = np.ones(len(data), bool)
     for e in ends.tolist():
         valid[max(0, e - WINDOW + 1) : e] = False
-    array = suffix_array(data.astype(np.int64) + 1)
+    array = suffix_array(data.astype(np.int32) + 1)
     starts = array[valid[array]]
     group = np.cumsum(np.r_[False, ~equal_prefixes(data, starts, WINDOW)]) if len(starts) else starts
     region = np.searchsorted(ends, starts, side="right")
