@@ -173,3 +173,11 @@ def test_only_words_that_may_end_a_sentence_are_matched(spark):
     got = rows.withColumn("t", boundaries.token(F.col("w")))
     assert got.where(~(F.col("t.kind").eqNullSafe(kind) & F.col("t.type").eqNullSafe(form))).collect() == []
     assert str(boundaries.token(F.col("w"))).count("regexp_replace") == 1
+
+
+def test_abbreviations_alone_are_those_of_all_that_is_learned(spark):
+    """And no pair of words is made or written for them."""
+    docs = spark.createDataFrame([*enumerate(LEARNING), (100, None), (101, " .. x.\u2028 12. ")], "doc_id long, text string")
+    got, want = ({tuple(r) for r in x.collect()} for x in (boundaries.learn_abbreviations(docs), boundaries.learn(docs, given=()).abbreviations))
+    assert got == want and {"dr", "mr"} <= {r[0] for r in got}
+    assert "transform" not in boundaries.type_counts(docs)._jdf.queryExecution().executedPlan().toString()

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import let, trimmed
+from ..functions.text import let, trimmed, words
 from ..sources.stores import kept
 
 #: Fixed values of the method: scores from which a word is an abbreviation, a pair a collocation, a word a starter.
@@ -39,16 +39,28 @@ def token(piece: Column) -> Column:
     Few words end as sentences do or begin as numbers do; only those are matched."""
     core = F.btrim(F.rtrim(piece, F.lit(" \t\n\x0b\f\r")), F.lit(MARKS_AROUND))
 
-    def told(c: Column) -> Column:
-        may_end = (c != "") & F.contains(F.lit(ENDINGS), F.substring(c, -1, 1))
-        kind = F.when(~may_end, PLAIN).when(c.rlike("[.][.]$"), DOTS).when(c.rlike("[?!][.?!]*$"), MARK).when(c.endswith("."), PERIOD).otherwise(PLAIN)
-        form = F.lower(F.rtrim(F.when(may_end, F.regexp_replace(c, "([.][.]+|[?!][.?!]*|[.])$", "")).otherwise(c), F.lit(MARKS_BEHIND)))
-        first = F.substring(c, 1, 1)
-        case = F.when(F.upper(first) != F.lower(first), F.when(first == F.lower(first), "lower").otherwise("upper")).otherwise("none")
-        typed = let(form, lambda f: F.when(F.substring(f, 1, 1).between("0", "9") & f.rlike("^[0-9][0-9.,:/-]*$"), NUMBER).otherwise(f))
-        return F.struct(kind.alias("kind"), typed.alias("type"), case.alias("case"))
+    return let(core, lambda c: let(form(c), lambda f: F.struct(kind(c).alias("kind"), typed(f).alias("type"), case(c).alias("case"))))
 
-    return let(core, told)
+
+def may_end(core: Column) -> Column:
+    return (core != "") & F.contains(F.lit(ENDINGS), F.substring(core, -1, 1))
+
+
+def kind(core: Column) -> Column:
+    return F.when(~may_end(core), PLAIN).when(core.rlike("[.][.]$"), DOTS).when(core.rlike("[?!][.?!]*$"), MARK).when(core.endswith("."), PERIOD).otherwise(PLAIN)
+
+
+def form(core: Column) -> Column:
+    return F.lower(F.rtrim(F.when(may_end(core), F.regexp_replace(core, "([.][.]+|[?!][.?!]*|[.])$", "")).otherwise(core), F.lit(MARKS_BEHIND)))
+
+
+def typed(form: Column) -> Column:
+    return F.when(F.substring(form, 1, 1).between("0", "9") & form.rlike("^[0-9][0-9.,:/-]*$"), NUMBER).otherwise(form)
+
+
+def case(core: Column) -> Column:
+    first = F.substring(core, 1, 1)
+    return F.when(F.upper(first) != F.lower(first), F.when(first == F.lower(first), "lower").otherwise("upper")).otherwise("none")
 
 
 def neighbours(text: Column) -> Column:
@@ -92,6 +104,31 @@ class Boundaries:
     cases: DataFrame
 
 
+def type_counts(docs: DataFrame, column: str = "text") -> DataFrame:
+    """(type, n_period, n_plain) of all words, one at a time and aggregated before the shuffle."""
+    each = docs.select(F.explode(words(F.coalesce(F.col(column), F.lit("")))).alias("w")).select(F.btrim("w", F.lit(MARKS_AROUND)).alias("core"))
+    each = each.select((kind(F.col("core")) == PERIOD).alias("period"), form(F.col("core")).alias("form")).select("period", typed(F.col("form")).alias("type"))
+    return each.groupBy("type").agg(F.count(F.when(F.col("period"), 1)).alias("n_period"), F.count(F.when(~F.col("period"), 1)).alias("n_plain"))
+
+
+def _totals(types: DataFrame) -> tuple[int, float]:
+    """The number of words, and the share of those with a full stop."""
+    total = types.agg(F.sum(F.col("n_period") + F.col("n_plain")).alias("n"), F.sum("n_period").alias("periods")).first()
+    return total["n"] or 0, min(max((total["periods"] or 0) / max(total["n"] or 0, 1), 1e-9), 1 - 1e-9)
+
+
+def abbreviations(types: DataFrame, share: float) -> DataFrame:
+    """(type, n_period, n_plain, score): of the types those that are abbreviations."""
+    scored = types.where((F.col("n_period") > 0) & F.col("type").rlike("\\p{L}") & (F.col("type") != NUMBER)).withColumn("score", abbreviation_score(F.col("n_period"), F.col("n_plain"), F.col("type"), share))
+    return scored.where(F.col("score") >= ABBREVIATION).select("type", "n_period", "n_plain", "score")
+
+
+def learn_abbreviations(docs: DataFrame, column: str = "text") -> DataFrame:
+    """The abbreviations that `learn` finds, without what it learns beside them: no pair of words is made."""
+    types = kept(type_counts(docs, column), "types")
+    return abbreviations(types, _totals(types)[1])
+
+
 def learn(docs: DataFrame, column: str = "text", given: tuple[str, ...] = tuple(K.ABBREVIATIONS)) -> Boundaries:
     """Boundaries of the texts of `docs`; `given` are abbreviations in any case (score null).
 
@@ -107,14 +144,12 @@ def learn(docs: DataFrame, column: str = "text", given: tuple[str, ...] = tuple(
     words = pairs.where("next_kind is not null")
     types = words.groupBy(F.col("next").alias("type")).agg(F.sum(F.when(F.col("next_kind") == PERIOD, F.col("n")).otherwise(0)).alias("n_period"), F.sum(F.when(F.col("next_kind") != PERIOD, F.col("n")).otherwise(0)).alias("n_plain"))
     types = kept(types, "types")
-    total = types.agg(F.sum(F.col("n_period") + F.col("n_plain")).alias("n"), F.sum("n_period").alias("periods")).first()
-    n, share = total["n"] or 0, min(max((total["periods"] or 0) / max(total["n"] or 0, 1), 1e-9), 1 - 1e-9)
-    scored = types.where((F.col("n_period") > 0) & F.col("type").rlike("\\p{L}") & (F.col("type") != NUMBER)).withColumn("score", abbreviation_score(F.col("n_period"), F.col("n_plain"), F.col("type"), share))
+    n, share = _totals(types)
     listed = spark.createDataFrame([(x,) for x in dict.fromkeys(given)], "type string")
-    found = scored.where(F.col("score") >= ABBREVIATION).select("type", "n_period", "n_plain", "score")
+    found = abbreviations(types, share)
     extra = listed.join(found, "type", "left_anti").select("type", *[F.lit(None).cast(k).alias(c) for c, k in (("n_period", "long"), ("n_plain", "long"), ("score", "double"))])
-    abbreviations = kept(found.unionByName(extra), "abbreviations")
-    stops = pairs.where((F.col("kind") == PERIOD) & F.col("next").isNotNull()).join(abbreviations.select("type", F.lit(True).alias("short")), "type", "left").withColumn("short", F.coalesce("short", F.lit(False)))
+    short = kept(found.unionByName(extra), "abbreviations")
+    stops = pairs.where((F.col("kind") == PERIOD) & F.col("next").isNotNull()).join(short.select("type", F.lit(True).alias("short")), "type", "left").withColumn("short", F.coalesce("short", F.lit(False)))
     others = pairs.where((F.col("kind") != PERIOD) & F.col("next").isNotNull()).withColumn("short", F.lit(False))
     told = kept(stops.unionByName(others), "told")
     ends = ((F.col("kind") == PERIOD) & ~F.col("short")) | F.col("kind").isin(MARK, "start")
@@ -134,7 +169,7 @@ def learn(docs: DataFrame, column: str = "text", given: tuple[str, ...] = tuple(
     held = held.groupBy("type", "next").agg(F.sum("n").alias("k")).where("k > 1")
     held = held.join(counts.withColumnRenamed("n2", "n1"), "type").join(counts.withColumnRenamed("type", "next"), "next").join(starters.select(F.col("type").alias("next")), "next", "left_anti")
     collocations = held.withColumn("score", association(F.col("k"), F.col("n1"), F.col("n2"), F.lit(n))).where(F.col("score") >= COLLOCATION)
-    return Boundaries(abbreviations, kept(collocations.select("type", "next", F.col("k").alias("n"), "score"), "collocations"), starters, kept(cases, "cases"))
+    return Boundaries(short, kept(collocations.select("type", "next", F.col("k").alias("n"), "score"), "collocations"), starters, kept(cases, "cases"))
 
 
 def ends_of(docs: DataFrame, key: str, found: Boundaries, column: str = "text") -> DataFrame:
