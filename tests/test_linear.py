@@ -91,3 +91,21 @@ def test_edges(spark):
     assert len(seen) == 10 and [seen[i, "a"] for i in (1, 3)] == [1, 1] and [seen[i, "a"] for i in (2, 4)] == [0, 0]
     assert all(seen[i, "b"] == 0 for i in range(1, 6))
     assert linear.scores(empty, found).count() == 0
+
+
+def test_spent_rounds_leave_the_disk(spark, monkeypatch):
+    """Before a round is written only the rows that it reads are there; none is left at the end."""
+    from pathlib import Path
+
+    paths, standing, write = [], [], linear.kept
+
+    def kept(rows, label):
+        standing.append(sum(Path(p).exists() for p in paths))
+        found = write(rows, label)
+        paths.append(found._kept)
+        return found
+
+    monkeypatch.setattr(linear, "kept", kept)
+    rows = spark.createDataFrame([(i, [i % 3], [1.0]) for i in range(30)], "doc_id long, indices array<int>, values array<double>")
+    linear.fit(rows, spark.createDataFrame([(i, "ab"[i % 2]) for i in range(30)], "doc_id long, label string"), ["a", "b"], rounds=4, local=1, tolerance=-1)
+    assert len(paths) == 5 and standing == [0, 1, 1, 1, 1] and not any(Path(p).exists() for p in paths)
