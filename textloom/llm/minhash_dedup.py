@@ -14,6 +14,8 @@ passage, and the fringe of large groups.  No index over signatures alone can tel
 with each, for they lie just beyond the threshold.  Of them two members of different components are candidates only if
 their full sets can still reach the similarity: shingles are put in order of their true frequency among these texts,
 the rarest first, and two sets that are similar enough share a shingle that stands early in both (`candidates`).
+A shingle that stands early in many sets, as in a group of near copies, lists no pairs: its sets are compared in blocks
+inside tasks, which send back a forest of the links found (`crowded_links`).
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ BOUNDS = [round(i * SYMBOLS / CHUNKS) for i in range(CHUNKS + 1)]
 SIMILARITY = 80  # per cent
 #: Sizes of sets fall in classes, each so much wider than the one before from FINE on, where every size has its own.
 FINE, WIDER = 50, 1.02
+#: Rows of a shingle up to which its pairs are listed.  Sets of shingles with more are compared in blocks of about so
+#: many sets and shingles.
+FEW, BLOCK, BLOCK_SHINGLES = 64, 512, 400_000
 _FACTORS = np.random.default_rng(9).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -154,8 +159,9 @@ def _least_common(n: Column, m: Column, similarity: int) -> Column:
     return F.expr("1") * F.ceil(similarity * (n + m) / (100 + similarity) - 1e-9)
 
 
-def candidates(tokens: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
-    """(a, b) of the sets (c, n, token) of `members` (c, comp) that belong to different components and may be similar.
+def mixed_prefixes(tokens: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
+    """(size, token, main, crowd, c, comp, n, asks): early shingles of the sets (c, n, token) of `members` (c, comp) that
+    stand early in sets of several components.
 
     Shingles are ordered by how many of these sets have them, then by hash.  Of sets of n <= m shingles with an overlap
     of o or more, the first common shingle stands among the first n - o + 1 of the one and m - o + 1 of the other.  A set
@@ -177,8 +183,16 @@ def candidates(tokens: DataFrame, members: DataFrame, similarity: int) -> DataFr
     both = materialize(indexed.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True))), "prefixes")
     # of a key of several components, `main` is the one with most rows: its own rows are not put against each other
     per = both.groupBy("size", "token", "comp").agg(F.count(F.lit(1)).alias("rows"))
-    keys = per.groupBy("size", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("comp", F.struct("rows", "comp")).alias("main"))
-    mixed = materialize(both.join(keys.where("low < high").select("size", "token", "main"), ["size", "token"]), "mixed-prefixes")
+    main = F.max_by("comp", F.struct("rows", F.bitwise_not("comp")))  # of equals the smallest, so that like keys have the same
+    keys = per.groupBy("size", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), main.alias("main"), F.sum("rows").alias("crowd"))
+    return materialize(both.join(keys.where("low < high").select("size", "token", "main", "crowd"), ["size", "token"]), "mixed-prefixes")
+
+
+def candidates(tokens: DataFrame, members: DataFrame, similarity: int, mixed: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(a, b) of the sets (c, n, token) of `members` (c, comp) that belong to different components and may be similar, by
+    their `mixed_prefixes`; with `most` only by shingles of so many rows."""
+    mixed = mixed_prefixes(tokens, members, similarity) if mixed is None else mixed
+    mixed = mixed if most is None else mixed.where(F.col("crowd") <= most)
     named = lambda rows, x: rows.select("size", "token", "main", *[F.col(y).alias(f"{y}_{x}") for y in ("c", "comp", "n")])
     index, probe = named(mixed.where("not asks"), "a"), named(mixed.where("asks"), "b").drop("main")
     fits = (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") * 100 >= F.col("n_b") * similarity)
@@ -189,6 +203,90 @@ def candidates(tokens: DataFrame, members: DataFrame, similarity: int) -> DataFr
     return found.distinct()
 
 
+def _link_blocks(similarity: int):
+    """Rows come sorted by (main, b1, b2): the sets of one block, or of two."""
+
+    def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+        """Shingles that each of the one and each of the others have in common."""
+        both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+        places = []
+        for sets in (left, right):
+            values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            at = np.searchsorted(both, values)
+            known = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == values) if len(both) else at[:0]
+            known = known[np.argsort(at[known], kind="stable")]
+            places.append((at[known], owners[known]))
+        found = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, len(both), 2000):
+            tables = []
+            for (column, owner), sets in zip(places, (left, right), strict=True):
+                own = slice(*np.searchsorted(column, [start, start + 2000]))
+                holds = np.zeros((len(sets), min(2000, len(both) - start)), np.float32)
+                holds[owner[own], column[own] - start] = 1
+                tables.append(holds)
+            found += tables[0] @ tables[1].T
+        return found
+
+    def compared(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of one group: each set that links with one of another component, and the smallest within its reach here."""
+        b1, b2, block, c, comp = (np.asarray(rows.column(x)) for x in ("b1", "b2", "block", "c", "comp"))
+        one, two = np.flatnonzero(block == b1), np.flatnonzero(block == b2)
+        if not len(one) or not len(two):
+            return
+        values, offsets = np.asarray(rows.column("set").values), np.asarray(rows.column("set").offsets)
+        sets = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        n, both = np.diff(offsets), common([sets[i] for i in one], [sets[i] for i in two])
+        linked = (both > 0) & (100 * both >= similarity * (n[one][:, None] + n[two] - both)) & (comp[one][:, None] != comp[two])
+        one, two, linked = one[linked.any(axis=1)], two[linked.any(axis=0)], linked[linked.any(axis=1)][:, linked.any(axis=0)]
+        least = c.copy()
+        while len(one):
+            before = least.copy()
+            for here, there, links in ((one, two, linked), (two, one, linked.T)):
+                least[here] = np.minimum(least[here], np.where(links, least[there], np.iinfo(np.int64).max).min(axis=1))
+            if (least == before).all():
+                break
+        some = np.flatnonzero(least != c)
+        yield pa.RecordBatch.from_arrays([pa.array(least[some]), pa.array(c[some])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []  # of the last group so far: two blocks at most
+        name = None
+        for batch in batches:
+            marks = np.stack([np.asarray(batch.column(x)) for x in ("main", "b1", "b2")], axis=1)
+            starts = np.flatnonzero(np.append(True, (marks[1:] != marks[:-1]).any(axis=1))) if len(marks) else []
+            for a, b in zip(starts, [*starts[1:], len(marks)], strict=True):
+                if waiting and tuple(marks[a]) != name:
+                    yield from compared(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])
+                    waiting = []
+                waiting.append(batch.slice(a, b - a))
+                name = tuple(marks[a])
+        if waiting:
+            yield from compared(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])
+
+    return run
+
+
+def crowded_links(mixed: DataFrame, tokens: DataFrame, similarity: int, most: int) -> DataFrame:
+    """(a, b): a forest of the links between sets of different components that share a shingle of more than `most` rows.
+
+    Such shingles are taken together by their `main` component, so that near copies come up once and not for each shingle
+    that they share.  The sets of other components are compared with each other and with those of the main one, by blocks;
+    a task holds two blocks."""
+    rows = materialize(mixed.where(F.col("crowd") > most).select("main", "c", "comp", "n").distinct(), "crowded")
+    is_main, n_blocks = F.col("comp") == F.col("main"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    per = rows.groupBy("main", is_main.alias("is_main")).agg(n_blocks.cast("long").alias("blocks"))
+    of = lambda x: F.coalesce(F.sum(F.when(x, F.col("blocks"))), F.lit(0))
+    per = per.groupBy("main").agg(of(~F.col("is_main")).alias("others"), of(F.col("is_main")).alias("mains"))
+    place = F.xxhash64("c", F.lit("block"))
+    dealt = rows.join(per, "main").withColumn("block", F.when(is_main, F.col("others") + F.pmod(place, "mains")).otherwise(F.pmod(place, "others")))
+    last = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = dealt.select("main", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "c", "comp")
+    sets = tokens.join(rows.select("c").distinct(), "c").groupBy("c").agg(F.collect_list("token").alias("set"))  # bounded by the text
+    dealt = dealt.join(sets, "c").repartition("main", "b1", "b2").sortWithinPartitions("main", "b1", "b2")
+    return dealt.mapInArrow(_link_blocks(similarity), "a long, b long")
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures are within the distance."""
     for batch in batches:
@@ -283,8 +381,10 @@ class Join:
         members = materialize(rows.join(mixed, "key", "left_semi").select("c", "comp").distinct(), "mixed-members")
         texts = self.texts.join(members.select("c"), "c", "left_semi")
         tokens = materialize(texts.mapInArrow(_shingles(self.words), "c long, n long, token long"), "shingles")
-        pairs = candidates(tokens, members, self.similarity)
-        return self._confirmed(materialize(self._near_pairs(pairs), "more-pairs"))
+        mixed = mixed_prefixes(tokens, members, self.similarity)
+        pairs = candidates(tokens, members, self.similarity, mixed, FEW)
+        links = self._confirmed(materialize(self._near_pairs(pairs), "more-pairs"))
+        return links.unionByName(crowded_links(mixed, tokens, self.similarity, FEW))
 
 
 def minhash_components(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
