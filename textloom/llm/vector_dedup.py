@@ -71,21 +71,6 @@ def list_decode(unit: np.ndarray, words: int) -> list[np.ndarray]:
     return [np.sort(np.concatenate(x)) for x in found]
 
 
-class _Decoded(dict):
-    """(rep, vh) -> filters of the vector; a vector comes up in many filters of one task."""
-
-    def of(self, reps: np.ndarray, hashes: np.ndarray, unit: np.ndarray, words: int) -> list[np.ndarray]:
-        keys = list(zip(reps.tolist(), hashes.tolist(), strict=True))
-        new = [i for i, k in enumerate(keys) if k not in self]
-        if new:
-            if len(self) > 50_000:
-                self.clear()
-                new = range(len(keys))
-            for i, found in zip(new, list_decode(unit[list(new)], words), strict=True):
-                self[keys[i]] = found
-        return [self[k] for k in keys]
-
-
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
@@ -119,16 +104,22 @@ def prepared(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("id"), vec.alias("vec"), F.xxhash64(vec).alias("vh"), usable.alias("usable"))
 
 
+def packed_as(words: int) -> np.dtype:
+    """The numbers of filters, as they go along with a vector."""
+    return np.dtype(np.uint32 if CODES * words * words <= 2**32 else np.int64)
+
+
 def _filters(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, vectors in _by_width(batch, "vec"):
                 found = list_decode(unit_rows(vectors), words)
                 width = vectors.shape[1]
-                n = np.array([len(x) for x in found])
-                take = pa.array(np.repeat(rows, n).astype(np.int32))
-                numbers = np.concatenate(found) + width * (CODES * words * words)
-                yield pa.RecordBatch.from_arrays([pa.array(numbers), batch.column("rep").take(take), batch.column("vh").take(take)], ["filter", "rep", "vh"])
+                numbers = pa.array([x + width * (CODES * words * words) for x in found], pa.list_(pa.int64()))
+                packed = pa.array([x.astype(packed_as(words)).tobytes() for x in found], pa.binary())
+                take = pa.array(rows.astype(np.int32))
+                columns = [batch.column(c).take(take) for c in ("rep", "vh", "vec", "copies")]
+                yield pa.RecordBatch.from_arrays([*columns, numbers, packed], ["rep", "vh", "vec", "copies", "filters", "packed"])
 
     return run
 
@@ -160,9 +151,9 @@ def _linked_groups(unit: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosi
 def _verify(cosine: float, words: int):
     """Rows come sorted by (filter, b1, b2): the members of a filter, or of two blocks of it."""
 
-    decoded = _Decoded()
+    kind = packed_as(words)
 
-    def compare(number: int, crossed: bool, reps: np.ndarray, hashes: np.ndarray, copies: np.ndarray, blocks: np.ndarray, unit: np.ndarray) -> tuple | None:
+    def compare(crossed: bool, reps: np.ndarray, hashes: np.ndarray, copies: np.ndarray, blocks: np.ndarray, unit: np.ndarray, earlier: pa.Array) -> tuple | None:
         linked = unit @ unit.T >= cosine
         np.fill_diagonal(linked, False)
         if crossed:
@@ -172,8 +163,7 @@ def _verify(cosine: float, words: int):
             return None
         linked = linked[np.ix_(member, member)]
         # a pair counts in the first filter that both have: earlier ones in common rule it out here
-        base = unit.shape[1] * (CODES * words * words)
-        lists = [x[: np.searchsorted(x, number - base)] for x in decoded.of(reps[member], hashes[member], unit[member], words)]
+        lists = [np.frombuffer(x, kind) for x in earlier.take(pa.array(member)).to_pylist()]
         columns, owners = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         found, column, times = np.unique(columns, return_inverse=True, return_counts=True)
         shared = np.zeros(linked.shape, bool)
@@ -209,7 +199,7 @@ def _verify(cosine: float, words: int):
             for g in np.flatnonzero(_linked_groups(unit, starts, sizes, cosine)):
                 own = slice(starts[g], starts[g] + sizes[g])
                 at = some[own]
-                if (found := compare(int(number[at[0]]), b1[at[0]] != b2[at[0]], reps[at], hashes[at], copies[at], blocks[at], unit[own])) is not None:
+                if (found := compare(b1[at[0]] != b2[at[0]], reps[at], hashes[at], copies[at], blocks[at], unit[own], rows.column("earlier").take(pa.array(at)))) is not None:
                     done.append(found)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[i] for d in done])) for i in range(4)], ["rep", "vh", "links", "least"])
@@ -238,13 +228,17 @@ def vector_links(distinct: DataFrame, cosine: float = COSINE) -> tuple[DataFrame
     """Of the different vectors (rep, vh, vec, copies): (rep, vh, links), rows other than copies that each links
     with, and (rep, component_id) of those that link at all."""
     words = codewords_for(distinct.count())
-    filters = materialize(distinct.select("rep", "vh", "vec").mapInArrow(_filters(words), "filter long, rep long, vh long"), "filters")
+    made = "rep long, vh long, vec array<double>, copies long, filters array<long>, packed binary"
+    decoded = materialize(distinct.select("rep", "vh", "vec", "copies").mapInArrow(_filters(words), made), "filters")
+    filters = decoded.select("rep", "vh", F.posexplode("filters").alias("place", "filter"))
     shared = filters.groupBy("filter").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = filters.join(shared, "filter").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("long"))
     members = members.withColumn("block", F.pmod(F.xxhash64("rep", "vh"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     members = members.withColumn("other", other).withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
-    full = members.join(distinct, ["rep", "vh"]).select("filter", "b1", "b2", "rep", "vh", "copies", "vec", "block")
+    # a pair counts in the first filter that both have, so that the earlier ones go along and no task decodes again
+    earlier = F.substring("packed", F.lit(1), F.col("place") * packed_as(words).itemsize).alias("earlier")
+    full = members.join(decoded.drop("filters"), ["rep", "vh"]).select("filter", "b1", "b2", "rep", "vh", "copies", "vec", "block", earlier)
     dealt = full.repartition("filter", "b1", "b2").sortWithinPartitions("filter", "b1", "b2")
     found = materialize(dealt.mapInArrow(_verify(cosine, words), "rep long, vh long, links long, least long"), "links")
     links = found.groupBy("rep", "vh").agg(F.sum("links").alias("links"))
