@@ -1,6 +1,6 @@
 """Multi-label networks in numpy: a perceptron and a stacked LSTM with sigmoid outputs.
 
-Training runs on one worker over a bounded training table, as the networks are small; scoring is distributed."""
+`fit` trains on one worker over a bounded training table; `trials.run_whole` over a whole one.  Scoring is distributed."""
 
 from __future__ import annotations
 
@@ -156,6 +156,13 @@ class LSTM:
         return [*self._convolution_gradients(front, upstream), *out] if self.filters else out
 
 
+def rmsprop(model, squares: list[np.ndarray], x: np.ndarray, y: np.ndarray, step: float) -> None:
+    """One step over a mini-batch, in place."""
+    for i, g in enumerate(model.gradients(x, y)):
+        squares[i] = 0.9 * squares[i] + 0.1 * g * g
+        model.weights[i] = model.weights[i] - step * g / (np.sqrt(squares[i]) + 1e-7)
+
+
 def fit(model, x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, epochs: int = 200, batch: int = 2048, patience: int = 15, least: float = 1e-5, step: float = 1e-3) -> list[dict]:
     """RMSprop on the cross entropy, stopped early by the validation loss; the best weights are put
     back.  Returns the history, one row an epoch.  No empty batch is ever drawn."""
@@ -166,9 +173,7 @@ def fit(model, x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, epo
         order = model.rng.permutation(len(x))
         for at in range(0, len(x), batch):
             some = order[at : at + batch]
-            for i, g in enumerate(model.gradients(x[some], y[some])):
-                squares[i] = 0.9 * squares[i] + 0.1 * g * g
-                model.weights[i] = model.weights[i] - step * g / (np.sqrt(squares[i]) + 1e-7)
+            rmsprop(model, squares, x[some], y[some], step)
         loss = cross_entropy(model.predict(xv), yv)
         history.append({"epoch": epoch, "loss": cross_entropy(model.predict(x), y), "val_loss": loss, "duration": time.time() - began})
         if loss < best - least:

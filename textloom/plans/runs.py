@@ -13,7 +13,7 @@ from ..models import linear, topics, trials
 from ..operators import extract, labels, parts
 from ..sources import archive, stores
 from .catalog import _DIM, _LEVELS, _SPLIT, _WORDED, _WORDS, docs, order_labels, query, sequences, table, three_fields
-from .models import SIZE, TRAINING_ROWS, _arrays, _features, training_rows
+from .models import SIZE, TRAINING_ROWS, _arrays, _features, held_out, training_rows
 
 # ---- sources and sinks
 
@@ -206,8 +206,12 @@ def _searched(spark: SparkSession, rows: DataFrame, key: str, column: str, grid:
     make = build(data[0].shape[-1], outputs)
     path = stores.scratch(spark, "trials")
     done = trials.run(spark, settings, make, tuple(np.asarray(x) for x in data), path, **fitting)
+    return done, _best(done, settings, make)
+
+
+def _best(done: DataFrame, settings: list[dict], make):
     chosen = trials.best(done).select("model").first()["model"]
-    return done, trials.restored(done, next(s for s in settings if trials.name(s) == chosen), make)
+    return trials.restored(done, next(s for s in settings if trials.name(s) == chosen), make)
 
 
 def _numbered(rows: DataFrame, column: str) -> DataFrame:
@@ -218,12 +222,15 @@ def _numbered(rows: DataFrame, column: str) -> DataFrame:
 
 
 @query("q_topics_mlp")
-def q_topics_mlp(spark: SparkSession, d: str, most: int = TRAINING_ROWS) -> DataFrame:
-    """C11, with C6, C9, C10: a search of perceptrons on topics, the best of them applied to all documents."""
+def q_topics_mlp(spark: SparkSession, d: str) -> DataFrame:
+    """C11, with C6, C9, C10: a search of perceptrons on the topics of all documents, the best of them applied to all."""
     own, found = _topic_rows(spark, d)
-    rows = _numbered(found.join(own.select("doc_id", "lang"), "doc_id"), "lang").select("doc_id", "topics", "label")
-    _, model = _searched(spark, rows, "doc_id", "topics", trials.MLP_GRID, 4, lambda a, b: trials.mlp(a, b, 0.05), most, epochs=10, batch=256)
-    return trials.neural.scores(rows.select("doc_id", F.col("topics").alias("x")), model)
+    rows = _numbered(found.join(own.select("doc_id", "lang"), "doc_id"), "lang").select(F.col("doc_id").alias("key"), F.col("topics").alias("x"), "label")
+    known, outputs = held_out(rows, "key")
+    settings = trials.draws(trials.MLP_GRID, 4)
+    make = trials.mlp(len(found.first()["topics"]), outputs, 0.05)
+    done = trials.run_whole(spark, settings, make, known, outputs, stores.scratch(spark, "trials"), epochs=10, batch=256)
+    return trials.neural.scores(rows.select(F.col("key").alias("doc_id"), "x"), _best(done, settings, make))
 
 
 def _labelled_sequences(spark: SparkSession, d: str) -> DataFrame:
