@@ -109,3 +109,27 @@ def test_spent_rounds_leave_the_disk(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [i % 3], [1.0]) for i in range(30)], "doc_id long, indices array<int>, values array<double>")
     linear.fit(rows, spark.createDataFrame([(i, "ab"[i % 2]) for i in range(30)], "doc_id long, label string"), ["a", "b"], rounds=4, local=1, tolerance=-1)
     assert len(paths) == 5 and standing == [0, 1, 1, 1, 1] and not any(Path(p).exists() for p in paths)
+
+
+def test_rows_at_rest_are_not_visited(monkeypatch):
+    """Most of 500 rows that two clear features tell apart rest at a bound after a pass."""
+    import types
+
+    import pandas as pd
+
+    visited, make = [], np.random.default_rng
+
+    class Counted:
+        def __init__(self, seed):
+            self.rng = make(seed)
+
+        def permutation(self, rows):
+            visited.append(rows if np.isscalar(rows) else len(rows))
+            return self.rng.permutation(rows)
+
+    values = make(5).uniform(1, 2, 500)
+    batch = pd.DataFrame({"indices": [np.array([i % 2]) for i in range(500)], "values": [np.array([v]) for v in values], "y": [np.array([i % 2]) for i in range(500)], "a": [np.zeros(1)] * 500, "da": [np.zeros(1)] * 500})
+    monkeypatch.setattr(np.random, "default_rng", Counted)
+    shared = types.SimpleNamespace(value=(np.zeros((3, 1)), np.zeros(1), 0))
+    found, told = linear._ascent(shared, 1, 0.001, 500, 20, (np.ones(1), np.ones(1)), 1)(iter([batch]))
+    assert sum(visited) < 20 * 500 / 4 and np.stack(found["da"]).max() > 0 and len(told) == 4
