@@ -72,3 +72,16 @@ def test_weights_of_documents_are_those_of_their_postings(spark):
     docs = P.sized(documents(spark).drop("class")).withColumn("split", F.when(F.col("doc_id") % 4 > 0, F.when(F.col("doc_id") % 4 == 1, "test").otherwise("training")))
     one, two = ({(r["doc_id"], r["term"]): tuple(r) for r in x.collect()} for x in (P.weights_of(docs), P.weights(P.postings(docs), docs)))
     assert one == two and len(one) > 20
+
+
+def test_packs_of_numbers_are_pressed(spark):
+    """Fewer bytes than the numbers of their postings alone take; nulls and columns of other types come back as they were."""
+    rows = spark.createDataFrame([(f"w{i % 900}", None if i % 7 == 0 else i // 30, ["a", "b"][i % 2], 10 + i // 30, f"s{i % 5}", 1 + i % 3) for i in range(30_000)], "term string, doc_id long, split string, len long, note string, tf long").coalesce(1)
+    columns = ["doc_id", "split", "len", "note", "tf"]
+    fixed = P._fixed(rows, columns)
+    assert fixed == {"doc_id": "i8", "split": "i4", "len": "i8", "tf": "i8"}
+    sent = rows.mapInArrow(packs.packed_rows(columns, 8, fixed), P._pressed(rows, columns, fixed))
+    assert sent.agg(F.sum(F.length("pack"))).first()[0] < 30_000 * 28 / 4
+    found = P._met(sent, columns, P._kinds(rows, columns), 2, fixed)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, found.drop("df").collect()), key=key) == sorted(map(tuple, rows.collect()), key=key)
